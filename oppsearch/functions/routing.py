@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from oppsearch import fixed_values as V
 from oppsearch.functions.clean import ws_trim
@@ -54,20 +54,32 @@ def anchor_token_weights(texts: dict[str, str] = V.ANCHOR_TEXTS) -> dict[str, li
     return {t: [c[t] / n for c, n in zip(counts, norms)] for t in vocabulary}
 
 
-def text_route_scores(text: Column, texts: dict[str, str] = V.ANCHOR_TEXTS) -> dict[str, Column]:
-    """Cosine of the text's word set with each anchor text. A projection: the four anchors are
-    constants, so no join and no shuffle is needed."""
+def with_text_scores(df: DataFrame, text: str,
+                     texts: dict[str, str] = V.ANCHOR_TEXTS) -> DataFrame:
+    """Add the cosine of the text's word set with each anchor text, one column per anchor.
+
+    The anchors are constants, so this is a projection without join or shuffle. Words and sums are
+    columns of their own because they are used several times and must be computed once.
+    """
     weights = anchor_token_weights(texts)
     table = F.create_map(*[x for t, ws in weights.items()
                            for x in (F.lit(t), F.array(*[F.lit(w) for w in ws]))])
-    words = F.array_distinct(tokens(text))
-    known = F.array_intersect(words, F.array(*[F.lit(t) for t in weights]))
-
-    def score(i: int) -> Column:
-        dot = F.aggregate(known, F.lit(0.0), lambda acc, t: acc + table[t][i])
-        return F.when(F.size(words) > 0, dot / F.sqrt(F.size(words))).otherwise(0.0)
-
-    return {route: score(i) for i, route in enumerate(V.ANCHOR_ROUTES)}
+    vocabulary = F.array(*[F.lit(t) for t in weights])
+    zero = F.array(*[F.lit(0.0)] * len(V.ANCHOR_ROUTES))
+    worded = df.withColumn("_words", F.array_distinct(tokens(F.col(text))))
+    summed = worded.withColumn("_sums", F.aggregate(
+        F.array_intersect("_words", vocabulary), zero,
+        lambda acc, t: F.zip_with(acc, table[t], lambda a, b: a + b)))
+    n = F.size("_words")
+    return summed.select(*df.columns, *[
+        F.round(F.when(n > 0, F.col("_sums")[i] / F.sqrt(n)).otherwise(0.0), 6).alias(route)
+        for i, route in enumerate(V.ANCHOR_ROUTES)])
+
+
+def with_text_route(df: DataFrame, text: str) -> DataFrame:
+    """Add ``route`` for a text column."""
+    route = route_decision(*[F.col(r) for r in ("chat", "db", "semantic", "professor")])
+    return with_text_scores(df, text).select(*df.columns, route.alias("route"))
 
 
 def profile_complete(degree_level: Column, field: Column) -> Column:

@@ -11,7 +11,7 @@ from oppsearch.operators import context as C
 from oppsearch.operators.index import Embed
 from oppsearch.operators.lexical import search_pages
 from oppsearch.operators.structured import structured_hits
-from oppsearch.operators.turns import resolve_turns
+from oppsearch.operators.turns import largest, resolve_turns
 from oppsearch.operators.vectors import vector_search
 
 STRUCTURED_COLUMNS = [
@@ -33,15 +33,12 @@ def accept_questions(requests: DataFrame) -> DataFrame:
 
 def prepare_turns(turns: DataFrame, dictionary: DataFrame, name: str) -> DataFrame:
     """Add each turn's own profile finds and route."""
-    found = extract_profiles(turns, ["thread", "turn"], "question", dictionary, name)
-    scores = R.text_route_scores(F.col("question"))
-    route = R.route_decision(*[F.round(scores[r], 6)
-                               for r in ("chat", "db", "semantic", "professor")])
-    return found.withColumn("route", route)
+    routed = R.with_text_route(turns, "question")
+    return extract_profiles(routed, ["thread", "turn"], "question", dictionary, name)
 
 
 def question_state(turns: DataFrame, dictionary: DataFrame, name: str) -> DataFrame:
-    return resolve_turns(prepare_turns(turns, dictionary, name))
+    return resolve_turns(prepare_turns(turns, dictionary, name), top=largest(turns, "turn"))
 
 
 def vector_hits(asked: DataFrame, stored: DataFrame, columns: list[str], embed: Embed,

@@ -24,7 +24,7 @@ from oppsearch.plans.views import cte, program_documents, table, typed_finances,
 from oppsearch.session import scratch_dir
 from oppsearch.sources import files, tables
 from oppsearch.streaming.indexing import start_indexing, stream_documents
-from oppsearch.streaming.turns import stream_turns
+from oppsearch.streaming.turns import state_store_settings, stream_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -784,9 +784,8 @@ def profile_extract(spark, sf):
 
 @query(STATE_SQL + "SELECT thread, turn, db, semantic, chat, professor FROM sc")
 def text_route_scores(spark, sf):
-    scores = R.text_route_scores(c("question"))
-    return view(spark, sf, "turns").select(
-        "thread", "turn", *[F.round(v, 6).alias(n) for n, v in scores.items()])
+    return R.with_text_scores(view(spark, sf, "turns"), "question").select(
+        "thread", "turn", *V.ANCHOR_ROUTES)
 
 
 @query(STATE_SQL + """SELECT thread, turn, degree_level, field, specialization, current_education,
@@ -1194,7 +1193,8 @@ def stream_turn_state(spark, sf):
     for part in (prepared.filter(c("turn") <= middle), prepared.filter(c("turn") > middle)):
         part.write.mode("append").parquet(source)
         arriving = spark.readStream.schema(prepared.schema).parquet(source)
-        (stream_turns(arriving).select(STATE_COLUMNS).writeStream.format("parquet")
-         .option("path", out).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start().awaitTermination())
+        with state_store_settings(spark):
+            (stream_turns(arriving).select(STATE_COLUMNS).writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(out)

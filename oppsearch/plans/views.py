@@ -106,7 +106,7 @@ VIEWS = {
                    WHEN 3 THEN ' Program description, curriculum overview, admission requirements?'
                    WHEN 4 THEN ' I hold a BSc Physics at Ulm and want a master''s in blue bolt, specializing in soft matter.'
                    WHEN 5 THEN ' PhD position, supervised research, join a research group.'
-                   ELSE ' Programs with upcoming deadlines, tuition fee, cost per year, building' END)
+                   WHEN 6 THEN ' Building programs: upcoming deadlines, tuition fee, program description, admission requirements?' END)
                    AS question,
                conv_id % 2 = 0 AS web_search
         FROM {conversations} WHERE role = 'user'""",

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from oppsearch.operators.turns import finish_turns, with_search
@@ -14,6 +15,28 @@ from oppsearch.schemas import PROFILE_FIELDS
 CARRIED = [*PROFILE_FIELDS, "search_question", "search_route"]
 
 
+@contextmanager
+def state_store_settings(spark: SparkSession, partitions: int | None = None):
+    """Settings a stateful query is started with, put back after.
+
+    A checkpoint keeps its number of state partitions for good, so it is chosen here: by default
+    one per core of the session, not the width of batch shuffles.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism),
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class CarryForward(StatefulProcessor):
     """Gives each turn the newest values of the turns before it and keeps them for the next batch.
 
@@ -44,7 +67,7 @@ class CarryForward(StatefulProcessor):
 def stream_turns(turns: DataFrame, thread: str = "thread") -> DataFrame:
     """Streaming turns with own ``question``, ``route`` and profile columns -> state after each.
 
-    Needs the RocksDB state store provider. Keep micro-batches small through the source's
+    Start it inside ``state_store_settings``. Keep micro-batches small through the source's
     ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
     """
     flat = with_search(turns).select(
