@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+WHITE = " \t\n\r\f\v"
+
+
 def ws_trim(c: Column) -> Column:
     """Strip every kind of ASCII white space, which plain ``trim`` does not."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def clean_str(c: Column) -> Column:

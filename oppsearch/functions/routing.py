@@ -62,9 +62,9 @@ def with_text_scores(df: DataFrame, text: str,
     columns of their own because they are used several times and must be computed once.
     """
     weights = anchor_token_weights(texts)
-    table = F.create_map(*[x for t, ws in weights.items()
-                           for x in (F.lit(t), F.array(*[F.lit(w) for w in ws]))])
-    vocabulary = F.array(*[F.lit(t) for t in weights])
+    table = F.expr("map(" + ", ".join(
+        f"'{t}', array({', '.join(f'{w!r}D' for w in ws)})" for t, ws in weights.items()) + ")")
+    vocabulary = F.map_keys(table)
     zero = F.array(*[F.lit(0.0)] * len(V.ANCHOR_ROUTES))
     worded = df.withColumn("_words", F.array_distinct(tokens(F.col(text))))
     summed = worded.withColumn("_sums", F.aggregate(

@@ -96,12 +96,15 @@ def load_split(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
                      ["university_id", "tuition_fee_eu_per_year", "tuition_fee_non_eu_per_year"],
                      []),
     }[kind]
+    both = raw.select(F.struct("*").alias("raw"), *[F.col(n).alias(f"_{n}") for n in raw.columns])
+    both = both.select("raw", *[C.clean_str(F.col(f"_{n}")).alias(n) for n in raw.columns])
     c = F.col
-    bad = [F.when(C.clean_str(c(n)).isNull(), n) for n in required]
-    bad += [F.when(C.clean_str(c(n)).isNotNull() & C.clean_int(c(n)).isNull(), n) for n in ints]
-    bad += [F.when((F.upper(C.clean_str(c(n))) != "NULL") & C.clean_date(c(n)).isNull(), n)
-            for n in dates]
-    checked = raw.withColumn("bad_columns", F.concat_ws(",", *bad))
-    clean = clean_programs if kind == "programs" else clean_finances
+    bad = F.concat_ws(
+        ",",
+        *[F.when(c(n).isNull(), n) for n in required],
+        *[F.when(c(n).isNotNull() & c(n).try_cast("int").isNull(), n) for n in ints],
+        *[F.when((F.upper(n) != "NULL") & c(n).try_cast("date").isNull(), n) for n in dates])
+    checked = both.withColumn("bad_columns", bad)
     good = checked.filter(c("bad_columns") == "").select(raw.columns)
-    return clean(good), checked.filter(c("bad_columns") != "")
+    rejects = checked.filter(c("bad_columns") != "").select("raw.*", "bad_columns")
+    return (clean_programs if kind == "programs" else clean_finances)(good), rejects

@@ -248,6 +248,7 @@ def csv_load_programs(spark, sf):
         folder, header=True, quote='"', escape='"', quoteAll=True)
     good, _ = L.load_split(files.read_programs(spark, folder), "programs")
     stored = scratch_dir(spark, "programs-table")
+    tables.create_table(spark, stored, S.PROGRAMS)
     present = tables.read_table(spark, stored, S.PROGRAMS)
     tables.append_table(L.insert_if_absent(good, present, ["id"], ["program_name"]), stored,
                         S.PROGRAMS)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oppsearch.functions.clean import json_string_array
+from oppsearch.session import spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -151,8 +152,12 @@ VIEWS = {
 }
 
 
+HEAVY = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in HEAVY else scan
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

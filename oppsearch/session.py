@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "oppsearch", master: str | None = None,
@@ -34,6 +34,16 @@ def build_session(app: str = "oppsearch", master: str | None = None,
     return b.getOrCreate()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan with at least one partition per core, for work that is heavy per row.
+
+    A table in many files or row groups has them already and is returned as it is; only one in few
+    files, which is small or badly laid out, is shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one run, under the shared folder the session names.
 

@@ -1,8 +1,7 @@
-"""Stored tables: create on first write, append after that, read as empty before."""
+"""Stored tables: create if missing, append with declared columns, read with declared columns."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from oppsearch import fixed_values as V, schemas as S
@@ -16,15 +15,13 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in declared.fields])
 
 
+def create_table(spark: SparkSession, path: str, schema: str) -> None:
+    """Create the table, empty, unless it is there."""
+    spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The stored table, or an empty one with the same columns before the first write."""
-    declared = T.StructType.fromDDL(schema)
-    try:
-        return spark.read.schema(declared).parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], declared)
+    return spark.read.schema(schema).parquet(path)
 
 
 def append_table(df: DataFrame, path: str, schema: str) -> None:
@@ -48,6 +45,7 @@ def load_anchors(spark: SparkSession, path: str, embed, texts: dict[str, str] =
     ``embed(df, text_column)`` adds ``embedding``.
     """
     wanted = spark.createDataFrame(list(texts.items()), "route string, text string")
+    create_table(spark, path, S.ANCHORS)
     stored = read_table(spark, path, S.ANCHORS)
     if not all(d.isEmpty() for d in key_differences(wanted.select("route"),
                                                     stored.select("route"))):
