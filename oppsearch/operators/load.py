@@ -8,7 +8,7 @@ from oppsearch.functions import clean as C
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """First row per key. An aggregate rather than a window: each map task sends at most one row
+    """First row per key in ascending ``order``. An aggregate rather than a window: each map task sends at most one row
     per key, so a key that holds a third of the rows costs no more than any other."""
     others = [c for c in df.columns if c not in keys]
     first = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_row"))

@@ -24,7 +24,7 @@ from oppsearch.plans.views import cte, program_documents, table, typed_finances,
 from oppsearch.session import scratch_dir
 from oppsearch.sources import files, tables
 from oppsearch.streaming.indexing import start_indexing, stream_documents
-from oppsearch.streaming.turns import state_store_settings, stream_turns
+from oppsearch.streaming.turns import read_turn_stream, state_store_settings, stream_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,15 +326,17 @@ def conditional_layout(spark, sf):
         .alias("n_short"))
 
 
-@query(cte("position_docs") + """
-SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(title, ''),
+POSITION_TEXT_SQL = """SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(title, ''),
    coalesce(position_type, '') || ' position at ' || coalesce(university, '') || ' — '
        || coalesce(city, '') || ', ' || coalesce(country, ''),
    'Supervisor: ' || coalesce(professor_name, ''), 'Department: ' || coalesce(department, ''),
    'Research areas: ' || array_to_string(coalesce(research_areas, []), ', '),
    nullif(description, ''), 'Requirements: ' || coalesce(requirements, ''),
    'Funding: ' || coalesce(funding, ''), 'Deadline: ' || coalesce(deadline, '')) AS text
-FROM position_docs""")
+FROM position_docs"""
+
+
+@query(cte("position_docs") + " SELECT * FROM (" + POSITION_TEXT_SQL + ")")
 def position_text(spark, sf):
     return view(spark, sf, "position_docs").select(
         "doc_id", X.position_text(*[c(n) for n in (
@@ -459,7 +461,7 @@ def _index_twice(spark, sf, kind: str) -> DataFrame:
                              S.POSITION_VECTORS)
     done = table(spark, sf, "labels").select("doc_id")
     for part in (docs.join(done, "doc_id", "left_semi"), docs):
-        run(part, folder, scratch_dir(spark, f"{kind}-staging"), _embed)
+        run(part, folder, scratch_dir(spark, f"{kind}-staging"), _embed, order="doc_id")
     return tables.read_table(spark, f"{folder}/vectors", schema)
 
 
@@ -472,9 +474,17 @@ def index_programs(spark, sf):
         (F.count("*") > 1).alias("is_long")).drop("record_key")
 
 
-@query(None)
+@query(cte("position_docs") + f""",
+k AS (SELECT p.doc_id, coalesce(university, '') || '|' || coalesce(title, '') || '|'
+             || coalesce(professor_name, '') AS record_key, l.doc_id IS NULL AS later, p.url
+      FROM position_docs p LEFT JOIN labels l ON l.doc_id = p.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY record_key ORDER BY later, doc_id) AS n FROM k)
+SELECT record_key, url, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 4000 AS is_long
+FROM r JOIN ({POSITION_TEXT_SQL}) t ON t.doc_id = r.doc_id WHERE n = 1""")
 def index_positions(spark, sf):
-    return _index_twice(spark, sf, "positions").drop("embedding")
+    """Records that share a key: the first one indexed stays."""
+    return _index_twice(spark, sf, "positions").groupBy("record_key", "url").agg(
+        (F.count("*") > 1).alias("is_long"))
 
 
 # ---------------------------------------------------------------- vectors
@@ -829,17 +839,15 @@ def message_history(spark, sf):
 
 
 @query("""
-SELECT p.conv_id AS thread, p.turn AS point, m.turn, m.role, m.text
-FROM conversations p JOIN conversations m ON m.conv_id = p.conv_id AND m.turn <= p.turn
-WHERE p.role = 'user'""")
-def history_at_turns(spark, sf):
-    """The messages each question is asked with."""
+WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY 1)
+SELECT m.conv_id AS thread, m.turn, m.role, m.text
+FROM last l JOIN conversations m ON m.conv_id = l.conv_id AND m.turn <= l.turn""")
+def thread_history(spark, sf):
+    """The messages the latest question of each thread is answered with."""
     messages = table(spark, sf, "conversations").withColumnRenamed("conv_id", "thread")
     history = T.message_history(messages)
-    points = history.filter("role = 'user'").select(
-        "thread", c("message_no").alias("point"), c("turn").alias("at"))
-    return T.history_at(history, points).select("thread", c("at").alias("point"), "turn", "role",
-                                                "text")
+    points = history.filter("role = 'user'").select("thread", c("message_no").alias("point"))
+    return T.thread_history(history, points).select("thread", "turn", "role", "text")
 
 
 @query(cte("requests") + f"""
@@ -1017,9 +1025,9 @@ def _answer(spark, sf) -> DataFrame:
     program_folder, position_folder = (scratch_dir(spark, f"{k}-vectors")
                                        for k in ("programs", "positions"))
     I.index_programs(_unique_documents(spark, sf), program_folder,
-                     scratch_dir(spark, "programs-staging"), _embed)
+                     scratch_dir(spark, "programs-staging"), _embed, order="doc_id")
     I.index_positions(view(spark, sf, "position_docs"), position_folder,
-                      scratch_dir(spark, "positions-staging"), _embed)
+                      scratch_dir(spark, "positions-staging"), _embed, order="doc_id")
     return answer_questions(
         view(spark, sf, "turns"), dictionary=view(spark, sf, "fields"), name="name",
         programs=view(spark, sf, "programs"), finances=typed_finances(spark, sf),
@@ -1030,8 +1038,47 @@ def _answer(spark, sf) -> DataFrame:
         work_dir=scratch_dir(spark, "answers"))
 
 
-@query(None)
+ANSWER_SQL = STATE_SQL.replace("WITH turns", "WITH " + cte("programs", "finances").removeprefix(
+    "WITH ") + ",\nturns", 1) + rf""",
+asked AS (SELECT thread, turn, field AS category,
+   TRY_CAST(replace(regexp_extract(query, {_quoted(P.FEE_CAP)}, 1), ',', '') AS INT) AS cap,
+   list_filter([CASE WHEN regexp_matches(lower(query), 'fully[- _]funded') THEN 'fully_funded' END,
+     CASE WHEN regexp_matches(lower(query), 'tuition[- _]free') THEN 'tuition_free' END,
+     CASE WHEN regexp_matches(lower(query), 'self[- _]funded') THEN 'self_funded' END],
+     lambda x: x IS NOT NULL) AS funding,
+   contains(lower(query), 'upcoming') AS upcoming_only
+   FROM gated WHERE choice IN ('query_db', 'hybrid')),
+matched AS (SELECT thread, turn, least(20, count(*)) AS n FROM asked JOIN (
+     SELECT *, coalesce(deadline_ir >= DATE '1998-01-01', false) AS upcoming
+     FROM programs LEFT JOIN finances ON university_id = id) j
+   ON (category IS NULL OR category = field_category)
+   AND (cap IS NULL OR (university_id IS NOT NULL AND
+        (tuition_fee_eu_per_year IS NULL OR tuition_fee_eu_per_year <= cap)))
+   AND (len(funding) = 0 OR coalesce(list_has_all(from_json(funding_category, '["VARCHAR"]'),
+        funding), false))
+   AND (NOT upcoming_only OR upcoming) GROUP BY ALL),
+counted AS (SELECT thread, turn, choice, ask, enriched_query, web_search,
+   CAST(coalesce(n, 0) AS INT) AS n_db,
+   CASE WHEN choice IN ('vector_search', 'hybrid') THEN 5 ELSE 0 END AS n_program,
+   CASE WHEN choice = 'professor_search' THEN 5 ELSE 0 END AS n_position
+   FROM gated LEFT JOIN matched USING (thread, turn))
+"""
+
+
+@query(ANSWER_SQL + """
+SELECT thread, turn, choice, ask, enriched_query, n_db, n_program, n_position,
+       n_db + n_program + n_position > 0 AS has_stored_data FROM counted""")
 def answer_batch(spark, sf):
+    """All turns with the counts of what their contexts hold."""
+    answers = _answer(spark, sf)
+    return answers.select(
+        "thread", "turn", "choice", "ask", "enriched_query", "n_db", "n_program", "n_position",
+        (F.col("n_db") + F.col("n_program") + F.col("n_position") > 0).alias("has_stored_data"))
+
+
+@query(None)
+def answer_contexts(spark, sf):
+    """All turns with their context texts."""
     return _answer(spark, sf)
 
 
@@ -1193,7 +1240,7 @@ def stream_turn_state(spark, sf):
     middle = prepared.agg(F.avg("turn").alias("m")).scalar()
     for part in (prepared.filter(c("turn") <= middle), prepared.filter(c("turn") > middle)):
         part.write.mode("append").parquet(source)
-        arriving = spark.readStream.schema(prepared.schema).parquet(source)
+        arriving = read_turn_stream(spark, source, prepared.schema)
         with state_store_settings(spark):
             (stream_turns(arriving).select(STATE_COLUMNS).writeStream.format("parquet")
              .option("path", out).option("checkpointLocation", checkpoint)

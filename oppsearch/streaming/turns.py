@@ -40,8 +40,8 @@ def state_store_settings(spark: SparkSession, partitions: int | None = None):
 class CarryForward(StatefulProcessor):
     """Gives each turn the newest values of the turns before it and keeps them for the next batch.
 
-    Frames of a thread are sorted by turn before use; how many rows a thread can have here is
-    bounded by the micro-batch size the source is told to keep.
+    Rows of a thread are sorted by turn before use; how many there can be is bounded by the bytes
+    the source puts into one micro-batch (``read_turn_stream``).
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -64,11 +64,18 @@ class CarryForward(StatefulProcessor):
         pass
 
 
+def read_turn_stream(spark: SparkSession, path: str, schema: T.StructType,
+                     bytes_per_trigger: int = 1 << 30) -> DataFrame:
+    """Turn files as a stream whose micro-batches, and so the rows of any one thread in them, are
+    bounded in bytes."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(
+        path)
+
+
 def stream_turns(turns: DataFrame, thread: str = "thread") -> DataFrame:
     """Streaming turns with own ``question``, ``route`` and profile columns -> state after each.
 
-    Start it inside ``state_store_settings``. Keep micro-batches small through the source's
-    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
+    Start it inside ``state_store_settings``.
     """
     flat = with_search(turns).select(
         *[c for c in turns.columns],
