@@ -13,6 +13,7 @@ from oppsearch.operators.lexical import search_pages
 from oppsearch.operators.structured import structured_hits
 from oppsearch.operators.turns import largest, resolve_turns
 from oppsearch.operators.vectors import vector_search
+from oppsearch.session import written
 
 STRUCTURED_COLUMNS = [
     "id", "program_name", "university_name", "field_category", "deadline_ir", "deadline_non_ir",
@@ -53,17 +54,14 @@ def vector_hits(asked: DataFrame, stored: DataFrame, columns: list[str], embed:
 
 def answer_questions(turns: DataFrame, *, dictionary: DataFrame, name: str, programs: DataFrame,
                      finances: DataFrame, program_vectors: DataFrame, position_vectors: DataFrame,
-                     pages: DataFrame, as_of, embed: Embed, dim: int, work_dir: str) -> DataFrame:
+                     pages: DataFrame, as_of, embed: Embed, dim: int) -> DataFrame:
     """One row per turn: choice, question to ask back, and the retrieved context with its counts.
 
-    The state is written to ``work_dir`` once because every branch reads it; each branch filters
-    by the retrieval choice before it embeds or joins anything.
+    The state is written once because every branch reads it; each branch filters by the retrieval
+    choice before it embeds or joins anything.
     """
-    spark = turns.sparkSession
     state = question_state(accept_questions(turns), dictionary, name)
-    state.withColumn("question_id", F.concat_ws("/", "thread", "turn")).write.parquet(
-        f"{work_dir}/state")
-    state = spark.read.parquet(f"{work_dir}/state")
+    state = written(state.withColumn("question_id", F.concat_ws("/", "thread", "turn")), "state")
     c = F.col
 
     filters = question_filters(c("query"))

@@ -1034,8 +1034,7 @@ def _answer(spark, sf) -> DataFrame:
         program_vectors=tables.read_table(spark, f"{program_folder}/vectors", S.PROGRAM_VECTORS),
         position_vectors=tables.read_table(spark, f"{position_folder}/vectors",
                                            S.POSITION_VECTORS),
-        pages=table(spark, sf, "pages"), as_of=AS_OF, embed=_embed, dim=TEST_DIM,
-        work_dir=scratch_dir(spark, "answers"))
+        pages=table(spark, sf, "pages"), as_of=AS_OF, embed=_embed, dim=TEST_DIM)
 
 
 ANSWER_SQL = STATE_SQL.replace("WITH turns", "WITH " + cte("programs", "finances").removeprefix(

@@ -59,6 +59,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the shared folder: for a result that is read more than once and
+    small next to the work that makes it. Survives the loss of executors and has a known size."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, whose Python workers run its Arrow functions."""
     if spark.sparkContext.master.startswith("local") or getattr(spark, "_oppsearch_sent", False):
