@@ -174,13 +174,13 @@ KEY_CHECK_SQL = """
 SELECT 'finances' AS source, count(*) AS n_rows, count(DISTINCT university_id) AS n_keys,
        (SELECT count(*) FROM (SELECT university_id FROM finances GROUP BY 1 HAVING count(*) > 1))
            AS n_duplicate_keys,
-       count_if(tuition_fee_eu_per_year IS NULL) AS null_a,
-       count_if(scholarship_available IS NULL) AS null_b
+       count(*) FILTER (WHERE tuition_fee_eu_per_year IS NULL) AS null_a,
+       count(*) FILTER (WHERE scholarship_available IS NULL) AS null_b
 FROM finances
 UNION ALL
 SELECT 'lineitem', count(*), count(DISTINCT l_orderkey),
        (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)),
-       count_if(l_partkey IS NULL), count_if(l_shipdate IS NULL)
+       count(*) FILTER (WHERE l_partkey IS NULL), count(*) FILTER (WHERE l_shipdate IS NULL)
 FROM lineitem"""
 
 
@@ -315,8 +315,8 @@ def compose_text(spark, sf):
 
 
 @query(PROGRAM_TEXT_CTE + """
-SELECT coalesce(_source, '') AS source, count(*) AS n_docs, sum(length(text)) AS n_chars,
-       count_if(coalesce(starts_with(_source, 'scraped_'), false)) AS n_short
+SELECT coalesce(_source, '') AS source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars,
+       count(*) FILTER (WHERE coalesce(starts_with(_source, 'scraped_'), false)) AS n_short
 FROM composed WHERE _source IS NULL OR _source <> 'scraped_universities' GROUP BY 1""")
 def conditional_layout(spark, sf):
     records = I.program_records(program_documents(spark, sf)).filter(I.included(c("source")))
@@ -414,9 +414,9 @@ done AS (SELECT DISTINCT record_key FROM r JOIN labels l ON l.doc_id = r.doc_id)
 
 
 @query(INDEX_SQL + """
-SELECT count(*) AS total, count_if(excluded) AS skipped_source,
-       count_if(NOT excluded AND record_key IN (SELECT record_key FROM done)) AS skipped_progress,
-       count_if(NOT excluded AND record_key NOT IN (SELECT record_key FROM done)) AS to_index
+SELECT count(*) AS total, count(*) FILTER (WHERE excluded) AS skipped_source,
+       count(*) FILTER (WHERE NOT excluded AND record_key IN (SELECT record_key FROM done)) AS skipped_progress,
+       count(*) FILTER (WHERE NOT excluded AND record_key NOT IN (SELECT record_key FROM done)) AS to_index
 FROM r""")
 def index_counters(spark, sf):
     docs = program_documents(spark, sf)
@@ -830,7 +830,7 @@ def enrich_query(spark, sf):
 @query("""
 SELECT conv_id AS thread, turn, role,
        row_number() OVER w AS message_no,
-       CAST(count_if(role = 'user') OVER w AS BIGINT) AS turn_no,
+       count(*) FILTER (WHERE role = 'user') OVER w AS turn_no,
        CAST(sum(length(text)) OVER w AS BIGINT) AS history_chars
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""")
 def message_history(spark, sf):
@@ -961,9 +961,9 @@ def description_cards(spark, sf):
 
 
 @query(cte("programs", "finances") + """
-SELECT id, to_json({'id': id, 'program_name': program_name, 'funding_type': funding_type,
+SELECT id, CAST(to_json({'id': id, 'program_name': program_name, 'funding_type': funding_type,
        'tuition_fee_eu_per_year': tuition_fee_eu_per_year,
-       'scholarship_available': scholarship_available}) AS body
+       'scholarship_available': scholarship_available}) AS VARCHAR) AS body
 FROM programs LEFT JOIN finances ON university_id = id""")
 def json_rows(spark, sf):
     joined = program_search(view(spark, sf, "programs"), typed_finances(spark, sf), as_of=AS_OF,
@@ -1014,8 +1014,8 @@ def question_context(spark, sf):
 
 
 @query(CONTEXT_SQL + """
-SELECT question_id, count_if(section = 'db') AS n_db, count_if(section = 'program') AS n_program,
-       count_if(section = 'position') AS n_position, count_if(section = 'web') AS n_web,
+SELECT question_id, count(*) FILTER (WHERE section = 'db') AS n_db, count(*) FILTER (WHERE section = 'program') AS n_program,
+       count(*) FILTER (WHERE section = 'position') AS n_position, count(*) FILTER (WHERE section = 'web') AS n_web,
        count(*) > 0 AS has_data FROM body GROUP BY question_id""")
 def has_data(spark, sf):
     return C.section_counts(_context_rows(spark, sf))
@@ -1094,14 +1094,14 @@ def labelled_queries(spark, sf):
 
 @query(SCORES_SQL + """
 SELECT avg(CASE WHEN predicted = expected THEN 1 ELSE 0 END) AS accuracy,
-       count_if(predicted = expected) AS correct, count(*) AS total,
+       count(*) FILTER (WHERE predicted = expected) AS correct, count(*) AS total,
        round(avg(round(latency_ms, 1)), 1) AS mean_latency_ms FROM g""")
 def routing_report(spark, sf):
     return E.routing_report(_routing_log(spark, sf))
 
 
 @query(SCORES_SQL + """
-SELECT expected, count_if(predicted = expected) AS correct, count(*) AS total,
+SELECT expected, count(*) FILTER (WHERE predicted = expected) AS correct, count(*) AS total,
        avg(CASE WHEN predicted = expected THEN 1 ELSE 0 END) AS accuracy FROM g GROUP BY expected""")
 def per_route_accuracy(spark, sf):
     return E.per_route_accuracy(_routing_log(spark, sf))
@@ -1142,7 +1142,7 @@ SELECT round(avg(CAST(route_correct AS INT)) * 100, 1) AS routing_accuracy,
   round(avg(CAST(faithful AS INT)) * 100, 1) AS faithfulness_rate,
   count(faithful) AS n_faithfulness, round(avg(total_ms), 3) AS mean_total_ms,
   round(avg(routing_ms), 3) AS mean_routing_ms, round(avg(retrieval_ms), 3) AS mean_retrieval_ms,
-  round(avg(llm_ms), 3) AS mean_llm_ms, count_if(judge_score > 0) AS n_scored, count(*) AS total
+  round(avg(llm_ms), 3) AS mean_llm_ms, count(*) FILTER (WHERE judge_score > 0) AS n_scored, count(*) AS total
 FROM timed""")
 def full_metrics(spark, sf):
     return E.full_metrics(_eval_log(spark, sf))
@@ -1171,7 +1171,7 @@ def grounding(spark, sf):
 
 
 @query(GROUNDING_SQL + """
-SELECT count(n_missing) AS n_faithfulness, count_if(n_missing = 0) AS n_faithful,
+SELECT count(n_missing) AS n_faithfulness, count(*) FILTER (WHERE n_missing = 0) AS n_faithful,
        round(avg(CAST(n_missing = 0 AS INT)) * 100, 1) AS faithfulness_rate FROM n""")
 def grounding_rate(spark, sf):
     checked = E.grounding(view(spark, sf, "answers"), "answer", "context")
