@@ -11,7 +11,7 @@ from oppsearch.operators import context as C
 from oppsearch.operators.index import Embed
 from oppsearch.operators.lexical import search_pages
 from oppsearch.operators.structured import structured_hits
-from oppsearch.operators.turns import largest, resolve_turns
+from oppsearch.operators.turns import BLOCK_BITS, largest, resolve_turns
 from oppsearch.operators.vectors import vector_search
 from oppsearch.session import written
 
@@ -39,7 +39,12 @@ def prepare_turns(turns: DataFrame, dictionary: DataFrame, name: str) -> DataFra
 
 
 def question_state(turns: DataFrame, dictionary: DataFrame, name: str) -> DataFrame:
-    return resolve_turns(prepare_turns(turns, dictionary, name), top=largest(turns, "turn"))
+    """State after each turn. Threads longer than one block are scanned twice, so what is extracted
+    from the texts is written first."""
+    prepared, top = prepare_turns(turns, dictionary, name), largest(turns, "turn")
+    if top >= 1 << BLOCK_BITS:
+        prepared = written(prepared, "prepared-turns")
+    return resolve_turns(prepared, top=top)
 
 
 def vector_hits(asked: DataFrame, stored: DataFrame, columns: list[str], embed: Embed,
