@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
-from oppsearch import fixed_values as V
+from oppsearch import fixed_values as V, schemas as S
 from oppsearch.functions import routing as R
 from oppsearch.functions.profile import extract_profiles, question_filters
 from oppsearch.operators import context as C
 from oppsearch.operators.index import Embed
 from oppsearch.operators.lexical import search_pages
 from oppsearch.operators.structured import structured_hits
-from oppsearch.operators.turns import BLOCK_BITS, largest, resolve_turns
+from oppsearch.operators.turns import BLOCK_BITS, gate, largest, resolve_turns
 from oppsearch.operators.vectors import vector_search
 from oppsearch.session import written
 
@@ -57,44 +60,84 @@ def vector_hits(asked: DataFrame, stored: DataFrame, columns: list[str], embed:
                        *[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 
-def answer_questions(turns: DataFrame, *, dictionary: DataFrame, name: str, programs: DataFrame,
-                     finances: DataFrame, program_vectors: DataFrame, position_vectors: DataFrame,
-                     pages: DataFrame, as_of, embed: Embed, dim: int) -> DataFrame:
-    """One row per turn: choice, question to ask back, and the retrieved context with its counts.
+@dataclass(frozen=True)
+class Sources:
+    """What questions are answered from, and how their texts are embedded."""
+
+    programs: DataFrame
+    finances: DataFrame
+    program_vectors: DataFrame
+    position_vectors: DataFrame
+    pages: DataFrame
+    embed: Embed
+    dim: int
+    as_of: dt.date
 
-    The state is written once because every branch reads it; each branch filters by the retrieval
-    choice before it embeds or joins anything.
-    """
-    state = question_state(accept_questions(turns), dictionary, name)
-    state = written(state.withColumn("question_id", F.concat_ws("/", "thread", "turn")), "state")
-    c = F.col
 
-    filters = question_filters(c("query"))
+def retrieve(state: DataFrame, sources: Sources) -> DataFrame:
+    """Context rows of all questions. ``state`` has ``question_id, query, enriched_query, choice,
+    field, web_search`` and is read by every branch, so it should be a stored table; each branch
+    filters by the retrieval choice before it embeds or joins anything."""
+    c = F.col
     structured = structured_hits(
         state.filter(R.uses_structured(c("choice"))).select(
             "question_id", c("field").alias("category"),
-            *[v.alias(n) for n, v in filters.items()]),
-        programs, finances, as_of)
-    described = vector_hits(state.filter(R.uses_program_vectors(c("choice"))), program_vectors,
-                            PROGRAM_COLUMNS, embed, dim)
-    positions = vector_hits(state.filter(c("choice") == "professor_search"), position_vectors,
-                            POSITION_COLUMNS, embed, dim)
+            *[v.alias(n) for n, v in question_filters(c("query")).items()]),
+        sources.programs, sources.finances, sources.as_of)
+    described = vector_hits(state.filter(R.uses_program_vectors(c("choice"))),
+                            sources.program_vectors, PROGRAM_COLUMNS, sources.embed, sources.dim)
+    positions = vector_hits(state.filter(c("choice") == "professor_search"),
+                            sources.position_vectors, POSITION_COLUMNS, sources.embed, sources.dim)
     web = search_pages(
         state.filter(c("web_search") & (c("choice") != "end"))
         .select("question_id", "enriched_query"),
-        pages, V.WEB_TOP_K, query_id="question_id", query_text="enriched_query")
-
-    rows = C.all_sections(
+        sources.pages, V.WEB_TOP_K, query_id="question_id", query_text="enriched_query")
+    return C.all_sections(
         C.json_section(structured, "db", "question_id", "rank", STRUCTURED_COLUMNS),
         C.json_section(described, "program", "question_id", "rank", [*PROGRAM_COLUMNS, "score"]),
         C.json_section(positions, "position", "question_id", "rank",
                        [*POSITION_COLUMNS, "score"]),
         C.web_section(web, "question_id", "rank"))
-    contexts = C.assemble_contexts(rows)
-    counts = [f"n_{s}" for s in C.SECTIONS]
-    return state.join(contexts, "question_id", "left").select(
-        "thread", "turn", "choice", "ask", "enriched_query", "context",
-        *[F.coalesce(n, F.lit(0)).alias(n) for n in counts],
-        (sum(F.coalesce(n, F.lit(0)) for n in counts) > 0).alias("has_data"),
+
+
+COUNTS = [f"n_{s}" for s in C.SECTIONS]
+
+
+def with_contexts(state: DataFrame, rows: DataFrame) -> DataFrame:
+    """Questions with context, hits per source and whether there is any data."""
+    joined = state.join(C.assemble_contexts(rows), "question_id", "left")
+    counts = {n: F.coalesce(n, F.lit(0)) for n in COUNTS}
+    return joined.withColumns(counts | {"has_data": sum(counts.values()) > 0})
+
+
+def answer_questions(turns: DataFrame, dictionary: DataFrame, name: str,
+                     sources: Sources) -> DataFrame:
+    """One row per turn: choice, question to ask back, and the retrieved context with its counts."""
+    state = question_state(accept_questions(turns), dictionary, name)
+    state = written(state.withColumn("question_id", F.concat_ws("/", "thread", "turn")), "state")
+    c = F.col
+    return with_contexts(state, retrieve(state, sources)).select(
+        "thread", "turn", "choice", "ask", "enriched_query", "context", *COUNTS, "has_data",
         R.profile_summary(c("degree_level"), c("field"), c("specialization"),
                           c("current_education")).alias("profile"))
+
+
+def evaluate_questions(labelled: DataFrame, sources: Sources,
+                       profile: dict[str, str] = V.EVAL_PROFILE) -> DataFrame:
+    """Labelled questions run through routing, gate and retrieval under one fixed profile:
+    ``query, expected, predicted, route_correct, db_hits, vec_hits, prof_hits, has_data, context``.
+    ``labelled`` has ``question_id, expected, query``. Scores and timings of answers, which are
+    written elsewhere, join on ``question_id``."""
+    none = F.lit(None).cast("string")
+    held = {f: F.lit(profile[f]) if f in profile else none for f in S.PROFILE_FIELDS}
+    routed = R.with_text_route(labelled, "query").select(
+        "*", *[v.alias(f) for f, v in held.items()], F.lit(False).alias("web_search"),
+        R.profile_complete(held["degree_level"], held["field"]).alias("profile_complete"))
+    state = written(gate(routed), "labelled-state")
+    # the mock field need not be a stored category: it narrows the text, not the rows
+    rows = retrieve(state.withColumn("field", none), sources)
+    return with_contexts(state, rows).select(
+        "question_id", "query", "expected", F.col("route").alias("predicted"),
+        (F.col("route") == F.col("expected")).alias("route_correct"),
+        F.col("n_db").alias("db_hits"), F.col("n_program").alias("vec_hits"),
+        F.col("n_position").alias("prof_hits"), "has_data", "context")

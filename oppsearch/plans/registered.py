@@ -19,7 +19,7 @@ from oppsearch.operators.search import has_all, in_domain, program_search, withi
 from oppsearch.operators.structured import structured_hits
 from oppsearch.operators.vectors import anchor_scores, hash_embed, nearest, vector_search
 from oppsearch.plans.answer import (
-    STRUCTURED_COLUMNS, accept_questions, answer_questions, prepare_turns, question_state)
+    Sources, accept_questions, answer_questions, evaluate_questions, prepare_turns, question_state)
 from oppsearch.plans.views import cte, program_documents, table, typed_finances, view
 from oppsearch.session import scratch_dir
 from oppsearch.sources import files, tables
@@ -1021,20 +1021,24 @@ def has_data(spark, sf):
     return C.section_counts(_context_rows(spark, sf))
 
 
-def _answer(spark, sf) -> DataFrame:
+def _sources(spark, sf) -> Sources:
     program_folder, position_folder = (scratch_dir(spark, f"{k}-vectors")
                                        for k in ("programs", "positions"))
     I.index_programs(_unique_documents(spark, sf), program_folder,
                      scratch_dir(spark, "programs-staging"), _embed, order="doc_id")
     I.index_positions(view(spark, sf, "position_docs"), position_folder,
                       scratch_dir(spark, "positions-staging"), _embed, order="doc_id")
-    return answer_questions(
-        view(spark, sf, "turns"), dictionary=view(spark, sf, "fields"), name="name",
+    return Sources(
         programs=view(spark, sf, "programs"), finances=typed_finances(spark, sf),
         program_vectors=tables.read_table(spark, f"{program_folder}/vectors", S.PROGRAM_VECTORS),
         position_vectors=tables.read_table(spark, f"{position_folder}/vectors",
                                            S.POSITION_VECTORS),
-        pages=table(spark, sf, "pages"), as_of=AS_OF, embed=_embed, dim=TEST_DIM)
+        pages=table(spark, sf, "pages"), embed=_embed, dim=TEST_DIM, as_of=AS_OF)
+
+
+def _answer(spark, sf) -> DataFrame:
+    return answer_questions(view(spark, sf, "turns"), view(spark, sf, "fields"), "name",
+                            _sources(spark, sf))
 
 
 ANSWER_SQL = STATE_SQL.replace("WITH turns", "WITH " + cte("programs", "finances").removeprefix(
@@ -1112,6 +1116,49 @@ def misses(spark, sf):
     return E.misses(_routing_log(spark, sf))
 
 
+LABELLED_SQL = cte("labelled_lines", "programs", "finances") + rf""",
+parsed AS (SELECT doc_id, regexp_extract({STRIP.format('line')}, '^\[(\w+)\]\s+(.+)', 1) AS expected,
+       regexp_extract({STRIP.format('line')}, '^\[(\w+)\]\s+(.+)', 2) AS query
+   FROM labelled_lines WHERE NOT starts_with({STRIP.format('line')}, '#')),
+lab AS (SELECT * FROM parsed WHERE expected <> ''),
+anchors(route, body) AS (VALUES {ANCHOR_ROWS}),
+atf AS (SELECT route, term, count(*) AS n FROM (SELECT route, unnest(list_filter(
+          string_split_regex(lower(body), '[^a-z0-9]+'), lambda x: length(x) >= 3)) AS term
+        FROM anchors) GROUP BY ALL),
+aw AS (SELECT route, term, n / sqrt(sum(n * n) OVER (PARTITION BY route)) AS w FROM atf),
+qset AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(query),
+           '[^a-z0-9]+'), lambda x: length(x) >= 3))) AS term FROM lab),
+qn AS (SELECT doc_id, count(*) AS n FROM qset GROUP BY ALL),
+dots AS (SELECT doc_id, route, sum(w) AS dot FROM qset JOIN aw USING (term) GROUP BY ALL),
+sc AS (SELECT doc_id, {', '.join(
+    f"round(coalesce(max(dot / sqrt(n)) FILTER (route = '{r}'), 0), 6) AS {r}"
+    for r in V.ANCHOR_ROUTES)}
+   FROM lab LEFT JOIN dots USING (doc_id) LEFT JOIN qn USING (doc_id) GROUP BY ALL),
+run AS (SELECT doc_id AS question_id, expected, query, CASE
+          WHEN professor > chat AND professor >= db AND professor >= semantic THEN 'professor_search'
+          WHEN db > chat AND semantic > chat AND abs(db - semantic) < 0.1 THEN 'hybrid'
+          WHEN db > chat AND semantic > chat AND db > semantic THEN 'query_db'
+          WHEN db > chat AND semantic > chat THEN 'vector_search'
+          WHEN db > chat THEN 'query_db' WHEN semantic > chat THEN 'vector_search'
+          ELSE 'respond' END AS predicted FROM lab JOIN sc USING (doc_id))
+"""
+
+
+@query(LABELLED_SQL + """
+SELECT question_id, expected, predicted, predicted = expected AS route_correct,
+       CASE WHEN predicted IN ('query_db', 'hybrid') THEN 20 ELSE 0 END AS db_hits,
+       CASE WHEN predicted IN ('vector_search', 'hybrid') THEN 5 ELSE 0 END AS vec_hits,
+       CASE WHEN predicted = 'professor_search' THEN 5 ELSE 0 END AS prof_hits,
+       predicted <> 'respond' AS has_data
+FROM run""")
+def evaluate_labelled(spark, sf):
+    """Labelled questions through routing, gate and retrieval; every search finds its full number
+    of hits here, because the questions name no filter."""
+    labelled = files.parse_labelled(view(spark, sf, "labelled_lines"), "line")
+    return evaluate_questions(labelled.withColumnRenamed("doc_id", "question_id"),
+                              _sources(spark, sf)).drop("query", "context")
+
+
 EVAL_SQL = cte("eval_log") + """,
 timed AS (SELECT * EXCLUDE (routing_ms, retrieval_ms, llm_ms), predicted = expected AS route_correct,
    round(routing_ms, 1) AS routing_ms, round(retrieval_ms, 1) AS retrieval_ms,
