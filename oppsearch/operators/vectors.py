@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from oppsearch import fixed_values as V
 from oppsearch.functions.text import tokens
-from oppsearch.operators.blocks import attach, blocked_topk
+from oppsearch.operators.blocks import attach, blocked_topk, measure
 
 
 class EmbeddingProvider(Protocol):
@@ -112,7 +112,6 @@ def vector_search(
     vector: str = "embedding",
     query_id: str = "query_id",
     query_vector: str = "query_vector",
-    dim: int = V.EMBED_DIM,
     payload: list[str] | None = None,
     broadcast_bytes: int | None = None,
 ) -> DataFrame:
@@ -139,8 +138,8 @@ def vector_search(
         .select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")),
         kernel, k, query_id=query_id,
         schema=f"{query_id} {types[query_id]}, {id_col} {types[id_col]}, score double",
-        order=[F.col("score").desc(), F.col(id_col)], n_queries=queries.count(),
-        query_bytes=4 * dim + 16, **options)
+        order=[F.col("score").desc(), F.col(id_col)],
+        size=measure(queries, query_id, F.size(query_vector) * 8), **options)
     if not payload:
         return hits
     found = attach(hits, corpus.select(id_col, *payload), id_col, few)

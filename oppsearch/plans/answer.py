@@ -50,12 +50,14 @@ def question_state(turns: DataFrame, dictionary: DataFrame, name: str) -> DataFr
     return resolve_turns(prepared, top=top)
 
 
-def vector_hits(asked: DataFrame, stored: DataFrame, columns: list[str], embed: Embed,
-                dim: int) -> DataFrame:
-    """Top hits for each enriched question, texts defaulting to empty."""
-    queries = embed(asked.select("question_id", "enriched_query"), "enriched_query").select(
-        "question_id", F.col("embedding").alias("query_vector"))
-    hits = vector_search(stored, queries, query_id="question_id", dim=dim, payload=columns)
+def vector_hits(asked: DataFrame, stored: DataFrame, columns: list[str],
+                embed: Embed) -> DataFrame:
+    """Top hits for each enriched question, texts defaulting to empty. The question vectors are
+    written first: the search reads them twice and a model should be asked once."""
+    queries = written(
+        embed(asked.select("question_id", "enriched_query"), "enriched_query").select(
+            "question_id", F.col("embedding").alias("query_vector")), "question-vectors")
+    hits = vector_search(stored, queries, query_id="question_id", payload=columns)
     return hits.select("question_id", "rank", "score",
                        *[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
@@ -70,7 +72,6 @@ class Sources:
     position_vectors: DataFrame
     pages: DataFrame
     embed: Embed
-    dim: int
     as_of: dt.date
 
 
@@ -85,9 +86,9 @@ def retrieve(state: DataFrame, sources: Sources) -> DataFrame:
             *[v.alias(n) for n, v in question_filters(c("query")).items()]),
         sources.programs, sources.finances, sources.as_of)
     described = vector_hits(state.filter(R.uses_program_vectors(c("choice"))),
-                            sources.program_vectors, PROGRAM_COLUMNS, sources.embed, sources.dim)
+                            sources.program_vectors, PROGRAM_COLUMNS, sources.embed)
     positions = vector_hits(state.filter(c("choice") == "professor_search"),
-                            sources.position_vectors, POSITION_COLUMNS, sources.embed, sources.dim)
+                            sources.position_vectors, POSITION_COLUMNS, sources.embed)
     web = search_pages(
         state.filter(c("web_search") & (c("choice") != "end"))
         .select("question_id", "enriched_query"),

@@ -506,7 +506,7 @@ def _stored_and_asked(spark, sf):
 @query(SELF_TOPK_SQL)
 def vector_topk(spark, sf):
     stored, asked = _stored_and_asked(spark, sf)
-    return vector_search(stored, asked, dim=64)
+    return vector_search(stored, asked)
 
 
 @query(SELF_TOPK_SQL.replace("SELECT query_id, id, score, CAST", "SELECT query_id, r.id, score, "
@@ -516,7 +516,7 @@ def result_projection(spark, sf):
     """Hits with their stored fields, searched without a broadcast."""
     stored, asked = _stored_and_asked(spark, sf)
     named = stored.withColumn("university_name", F.concat(F.lit("label "), c("label")))
-    hits = vector_search(named, asked, dim=64, payload=["university_name"], broadcast_bytes=0)
+    hits = vector_search(named, asked, payload=["university_name"], broadcast_bytes=0)
     return hits.withColumn("university_name", F.coalesce("university_name", F.lit("")))
 
 
@@ -642,7 +642,7 @@ def semantic_topk(spark, sf):
     stored = _embed(chunks, "chunk").withColumn("id", F.xxhash64("doc_id", "chunk_idx"))
     asked = _embed(table(spark, sf, "benchmark"), "text").select(
         c("item_id").alias("query_id"), c("embedding").alias("query_vector"))
-    return vector_search(stored, asked, dim=TEST_DIM, payload=["doc_id", "chunk_idx"])
+    return vector_search(stored, asked, payload=["doc_id", "chunk_idx"])
 
 
 # ---------------------------------------------------------------- lexical search
@@ -1033,7 +1033,7 @@ def _sources(spark, sf) -> Sources:
         program_vectors=tables.read_table(spark, f"{program_folder}/vectors", S.PROGRAM_VECTORS),
         position_vectors=tables.read_table(spark, f"{position_folder}/vectors",
                                            S.POSITION_VECTORS),
-        pages=table(spark, sf, "pages"), embed=_embed, dim=TEST_DIM, as_of=AS_OF)
+        pages=table(spark, sf, "pages"), embed=_embed, as_of=AS_OF)
 
 
 def _answer(spark, sf) -> DataFrame:

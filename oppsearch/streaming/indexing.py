@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,7 +23,7 @@ def start_indexing(records: DataFrame, folder: str, staging: str, checkpoint: st
     """Index each micro-batch of records with the batch operator, then stop when all files present
     are read. A repeated batch adds nothing: its keys are in the table already."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        attempt = f"{staging}/batch-{batch_id}-{batch.sparkSession.sparkContext.startTime}"
+        attempt = f"{staging}/batch-{batch_id}-{uuid.uuid4().hex}"
         index_records(batch, folder, attempt, embed, lengths, schema)
 
     return (records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

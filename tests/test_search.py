@@ -91,7 +91,7 @@ def test_vector_search_equals_brute_force(spark, monkeypatch, broadcast_bytes):
                               + [(999, None)], "id long, embedding array<float>").repartition(3)
     q = spark.createDataFrame([(f"q{i}", [float(x) for x in v]) for i, v in enumerate(asked)],
                               "query_id string, query_vector array<float>")
-    hits = vectors.vector_search(s, q, 4, dim=6, payload=["embedding"],
+    hits = vectors.vector_search(s, q, 4, payload=["embedding"],
                                  broadcast_bytes=broadcast_bytes).collect()
     got = {}
     for r in sorted(hits, key=lambda r: (r.query_id, r.rank)):
