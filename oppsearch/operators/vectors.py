@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from oppsearch import fixed_values as V
+from oppsearch.functions.routing import route_decision
 from oppsearch.functions.text import tokens
 from oppsearch.operators.blocks import attach, blocked_topk, measure
 
@@ -83,8 +84,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors without NULLs as rows of one matrix."""
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
+    if len(column) == 0:
+        return values.reshape(0, 0)
+    sizes = column.value_lengths().to_numpy()
+    if (sizes != sizes[0]).any():
+        raise ValueError("vectors of different length in one column")
+    return values.reshape(len(column), sizes[0])
 
 
 def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +165,8 @@ def anchor_scores(vectors: DataFrame, vector: str, anchors: DataFrame) -> DataFr
     """Add the cosine with each route anchor as ``db``, ``semantic``, ``chat``, ``professor``.
 
     The anchors are aggregated to one row of four vectors, whatever the table holds, and that row
-    goes to the tasks with the function; the scored side is neither joined nor shuffled.
+    goes to the tasks with the function; the scored side is neither joined nor shuffled. A missing
+    vector has no scores.
     """
     picked = anchors.agg(*[
         F.any_value(F.when(F.col("route") == r, F.col("embedding")), True).alias(r)
@@ -172,11 +180,28 @@ def anchor_scores(vectors: DataFrame, vector: str, anchors: DataFrame) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _matrix(batch.column(vector)) if batch.num_rows else np.zeros((0, unit.shape[1]))
-            norm = np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), np.finfo(float).tiny)
-            scores = np.round((rows / norm) @ unit.T, 6) + 0.0
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *[pa.array(np.ascontiguousarray(c)) for c in scores.T]],
-                names=[*batch.schema.names, *V.ANCHOR_ROUTES])
+            known = batch.column(vector).is_valid()
+            scores = np.full((batch.num_rows, len(unit)), np.nan)
+            if known.true_count:
+                rows = _matrix(batch.column(vector).filter(known))
+                norm = np.maximum(np.linalg.norm(rows, axis=1, keepdims=True),
+                                  np.finfo(float).tiny)
+                scores[known.to_numpy(zero_copy_only=False)] = np.round((rows / norm) @ unit.T, 6)
+            columns = [pa.array(np.ascontiguousarray(c) + 0.0, from_pandas=True)
+                       for c in scores.T]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns],
+                                             names=[*batch.schema.names, *V.ANCHOR_ROUTES])
 
     return vectors.mapInArrow(run, schema)
+
+
+def vector_router(embed, anchors: DataFrame):
+    """A router for the plans: texts are embedded by ``embed(df, text)`` and routed by their cosine
+    with the stored anchors, as ``with_text_route`` does by words. What cannot be embedded is
+    answered without a search."""
+    def route(df: DataFrame, text: str) -> DataFrame:
+        scored = anchor_scores(embed(df, text), "embedding", anchors)
+        decided = route_decision(*[F.col(r) for r in ("chat", "db", "semantic", "professor")])
+        return scored.select(*df.columns, decided.alias("route"))
+
+    return route

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -35,16 +36,21 @@ def accept_questions(requests: DataFrame) -> DataFrame:
         R.ws_trim(F.col("question")).alias("question"))
 
 
-def prepare_turns(turns: DataFrame, dictionary: DataFrame, name: str) -> DataFrame:
+Router = Callable[[DataFrame, str], DataFrame]
+
+
+def prepare_turns(turns: DataFrame, dictionary: DataFrame, name: str,
+                  route: Router = R.with_text_route) -> DataFrame:
     """Add each turn's own profile finds and route."""
-    routed = R.with_text_route(turns, "question")
+    routed = route(turns, "question")
     return extract_profiles(routed, ["thread", "turn"], "question", dictionary, name)
 
 
-def question_state(turns: DataFrame, dictionary: DataFrame, name: str) -> DataFrame:
+def question_state(turns: DataFrame, dictionary: DataFrame, name: str,
+                   route: Router = R.with_text_route) -> DataFrame:
     """State after each turn. Threads longer than one block are scanned twice, so what is extracted
     from the texts is written first."""
-    prepared, top = prepare_turns(turns, dictionary, name), largest(turns, "turn")
+    prepared, top = prepare_turns(turns, dictionary, name, route), largest(turns, "turn")
     if top >= 1 << BLOCK_BITS:
         prepared = written(prepared, "prepared-turns")
     return resolve_turns(prepared, top=top)
@@ -111,10 +117,10 @@ def with_contexts(state: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.withColumns(counts | {"has_data": sum(counts.values()) > 0})
 
 
-def answer_questions(turns: DataFrame, dictionary: DataFrame, name: str,
-                     sources: Sources) -> DataFrame:
+def answer_questions(turns: DataFrame, dictionary: DataFrame, name: str, sources: Sources,
+                     route: Router = R.with_text_route) -> DataFrame:
     """One row per turn: choice, question to ask back, and the retrieved context with its counts."""
-    state = question_state(accept_questions(turns), dictionary, name)
+    state = question_state(accept_questions(turns), dictionary, name, route)
     state = written(state.withColumn("question_id", F.concat_ws("/", "thread", "turn")), "state")
     c = F.col
     return with_contexts(state, retrieve(state, sources)).select(
@@ -124,14 +130,15 @@ def answer_questions(turns: DataFrame, dictionary: DataFrame, name: str,
 
 
 def evaluate_questions(labelled: DataFrame, sources: Sources,
-                       profile: dict[str, str] = V.EVAL_PROFILE) -> DataFrame:
+                       profile: dict[str, str] = V.EVAL_PROFILE,
+                       route: Router = R.with_text_route) -> DataFrame:
     """Labelled questions run through routing, gate and retrieval under one fixed profile:
     ``query, expected, predicted, route_correct, db_hits, vec_hits, prof_hits, has_data, context``.
     ``labelled`` has ``question_id, expected, query``. Scores and timings of answers, which are
     written elsewhere, join on ``question_id``."""
     none = F.lit(None).cast("string")
     held = {f: F.lit(profile[f]) if f in profile else none for f in S.PROFILE_FIELDS}
-    routed = R.with_text_route(labelled, "query").select(
+    routed = route(labelled, "query").select(
         "*", *[v.alias(f) for f, v in held.items()], F.lit(False).alias("web_search"),
         R.profile_complete(held["degree_level"], held["field"]).alias("profile_complete"))
     state = written(gate(routed), "labelled-state")

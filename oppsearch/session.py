@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -45,6 +46,10 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
 @functools.cache
 def _local_base() -> str:
     return tempfile.mkdtemp(prefix="oppsearch-")
@@ -58,7 +63,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not _one_machine(spark):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = _local_base()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -72,12 +77,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _package_archive() -> str:
+    root = os.path.dirname(os.path.abspath(__file__))
+    return shutil.make_archive(os.path.join(tempfile.mkdtemp(), "oppsearch"), "zip",
+                               os.path.dirname(root), os.path.basename(root))
+
+
+_shipped: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, whose Python workers run its Arrow functions."""
-    if spark.sparkContext.master.startswith("local") or getattr(spark, "_oppsearch_sent", False):
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "oppsearch"), "zip",
-                                  os.path.dirname(root), os.path.basename(root))
-    spark.sparkContext.addPyFile(archive)
-    spark._oppsearch_sent = True
+    app = spark.sparkContext.applicationId
+    if not _one_machine(spark) and app not in _shipped:
+        spark.sparkContext.addPyFile(_package_archive())
+        _shipped.add(app)

@@ -7,12 +7,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from oppsearch import fixed_values as V
 from oppsearch.operators import blocks, lexical, vectors
 from oppsearch.operators.search import program_search
 from oppsearch.operators.structured import structured_hits
+from oppsearch.sources.tables import load_anchors
 
 AS_OF = dt.date(2024, 6, 1)
 
@@ -104,14 +106,15 @@ def test_vector_search_equals_brute_force(spark, monkeypatch, broadcast_bytes):
 
 
 def test_cosine_and_anchor_scores(spark):
-    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [3.0, 4.0])],
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (3, None), (1, [0.0, 0.0]), (2, [3.0, 4.0])],
                               "i int, e array<float>")
     a = spark.createDataFrame([("db", [2.0, 0.0]), ("semantic", [0.0, 1.0]), ("chat", [1.0, 1.0]),
                                ("professor", [0.0, 0.0])], "route string, embedding array<float>")
     got = {r.i: (r.db, r.semantic, r.chat, r.professor)
            for r in vectors.anchor_scores(v, "e", a).collect()}
-    assert got == {0: (1.0, 0.0, 0.707107, 0.0), 1: (0.0,) * 4, 2: (0.6, 0.8, 0.989949, 0.0)}
-    pair = v.select(F.round(vectors.cosine(F.col("e"), F.array(F.lit(1.0), F.lit(1.0))), 6))
+    assert got == {0: (1.0, 0.0, 0.707107, 0.0), 1: (0.0,) * 4, 2: (0.6, 0.8, 0.989949, 0.0),
+                   3: (None,) * 4}
+    pair = v.filter("e is not null").select(F.round(vectors.cosine(F.col("e"), F.array(F.lit(1.0), F.lit(1.0))), 6))
     assert [r[0] for r in pair.collect()] == [0.707107, 0.0, 0.989949]
     with pytest.raises(ValueError):
         vectors.anchor_scores(v, "e", a.filter("route <> 'db'"))
@@ -172,3 +175,21 @@ def test_provider_failures_are_rows(spark):
     df = spark.createDataFrame([(0, "ok"), (1, "bad"), (2, "fine")], "i int, t string").coalesce(1)
     got = {r.i: (r.embedding, r.error) for r in vectors.embed_with(df, "t", Lengths()).collect()}
     assert got == {0: ([2.0, 1.0], None), 1: (None, "RuntimeError: no"), 2: ([4.0, 1.0], None)}
+
+
+def test_vector_router(spark, tmp_path):
+    def embed(df, text):
+        return vectors.hash_embed(df, text, 256)
+
+    anchors = load_anchors(spark, str(tmp_path / "anchors"), embed)
+    texts = [(0, V.ANCHOR_TEXTS["professor"]), (1, V.ANCHOR_TEXTS["chat"]), (2, ""), (3, None)]
+    df = spark.createDataFrame(texts, "i int, t string")
+    got = {r.i: r.route for r in vectors.vector_router(embed, anchors)(df, "t").collect()}
+    assert got == {0: "professor_search", 1: "respond", 2: "respond", 3: "respond"}
+
+
+def test_vectors_of_mixed_length_are_refused(spark):
+    s = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0, 3.0])], "id int, embedding array<float>")
+    q = spark.createDataFrame([(0, [1.0, 2.0])], "query_id int, query_vector array<float>")
+    with pytest.raises(PySparkException):
+        vectors.vector_search(s.coalesce(1), q, 1).collect()
