@@ -88,8 +88,9 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, whose Python workers run its Arrow functions."""
+    """Send this package to the Python workers, once per application; local ones need it too when
+    the session was started in another folder."""
     app = spark.sparkContext.applicationId
-    if not _one_machine(spark) and app not in _shipped:
+    if app not in _shipped:
         spark.sparkContext.addPyFile(_package_archive())
         _shipped.add(app)
