@@ -10,8 +10,7 @@ before the next factor begins. All words of factors are duplicate spans.
 Only phrases that can occur twice are exchanged: every phrase has an anchor, the smallest hash among
 its runs of six words, and equal phrases have equal anchors. Blocks first exchange their anchors, a
 fifth as many as words, then the phrases whose anchor lies in two documents, each once for a block.
-The text itself is dealt once and used by all three passes. Phrases are compared by 128 bits of
-hash.
+The text itself is dealt once and used by all three passes. Phrases are compared by 96 bits of hash.
 
 A null text has no words. A null doc_id counts as larger than every id; documents with equal ids do
 not remove from each other. Repeated rows are treated alike. Long texts are hashed in steps. Columns
@@ -73,6 +72,10 @@ class Block:
         return _finished(h, base)
 
 
+def short(h: np.ndarray) -> np.ndarray:
+    return (h >> np.int64(32)).astype(np.int32)
+
+
 def _finished(h: np.ndarray, base: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(base)
     return (h ^ (h >> np.uint64(29))).view(np.int64)
@@ -93,11 +96,11 @@ def block_anchors(table: pa.Table, size: int) -> pa.Table:
 
 
 def block_phrases(table: pa.Table, shared: pa.Table, size: int) -> pa.Table:
-    """(h, c, block, least, most): each phrase of the block with a shared anchor, by hash, and the
-    smallest and largest document that has it."""
+    """(h, c, block, least, several): each phrase of the block with a shared anchor, by its hashes,
+    the smallest document that has it, and whether others of the block do."""
     block = Block(table, size)
     chosen = np.flatnonzero(np.isin(block.anchors(), shared["anchor"].to_numpy()))
-    h, c = block.hashes(chosen, BASES[0]), block.hashes(chosen, BASES[1])
+    h, c = block.hashes(chosen, BASES[0]), short(block.hashes(chosen, BASES[1]))
     rank = block.rank[block.doc[chosen]]
     order = np.lexsort((rank, c, h))
     h, c, rank = h[order], c[order], rank[order]
@@ -107,7 +110,7 @@ def block_phrases(table: pa.Table, shared: pa.Table, size: int) -> pa.Table:
     number = table["block"][0].as_py() if table.num_rows else 0
     return pa.table({"h": h[starts], "c": c[starts],
                      "block": np.full(len(starts), number, np.int64),
-                     "least": rank[starts], "most": rank[ends]})
+                     "least": rank[starts], "several": rank[starts] != rank[ends]})
 
 
 def factors(found: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -134,7 +137,7 @@ def remove_factors(table: pa.Table, index: pa.Table, size: int, schema: pa.Schem
         ih, ic, least = (index[n].to_numpy() for n in ("h", "c", "least"))
         h = block.first_hashes()
         chosen = np.flatnonzero(np.isin(h, ih))
-        h, c = h[chosen], block.hashes(chosen, BASES[1])
+        h, c = h[chosen], short(block.hashes(chosen, BASES[1]))
         order = np.lexsort((ic, ih))
         ih, ic, least = ih[order], ic[order], least[order]
         lo = np.searchsorted(ih, h)
@@ -188,15 +191,20 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     def phrases_of(table: pa.Table, shared: pa.Table) -> pa.Table:
         return block_phrases(table, shared, size)
 
+    # each exchange serves the count and the join after it: both use all of its columns, else Spark
+    # would prune them differently and run the pass before it twice
     anchors = rows.groupBy("block").applyInArrow(
         anchors_of, "anchor long, block long, many boolean").repartition("anchor")
     twice = anchors.groupBy("anchor").agg(
-        F.count("*").alias("n"), F.max("many").alias("many")).filter("n > 1 OR many")
-    shared = anchors.join(twice.select("anchor"), "anchor").select("block", "anchor")
+        F.min("block").alias("lo"), F.max("block").alias("hi"), F.max("many").alias("in_one")
+    ).filter("lo < hi OR in_one").select("anchor")
+    shared = anchors.join(twice, "anchor").select("block", "anchor", "many")
     phrases = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
-        phrases_of, "h long, c long, block long, least long, most long").repartition("h", "c")
-    index = phrases.groupBy("h", "c").agg(F.min("least").alias("first"))
-    useful = phrases.join(index, ["h", "c"]).filter("first < most").select(
+        phrases_of, "h long, c int, block long, least long, several boolean").repartition("h", "c")
+    index = phrases.groupBy("h", "c").agg(
+        F.min("least").alias("first"), F.min("block").alias("lo"), F.max("block").alias("hi"),
+        F.max("several").alias("in_one")).filter("lo < hi OR in_one").select("h", "c", "first")
+    useful = phrases.join(index, ["h", "c"]).filter("first < least OR several").select(
         "block", "h", "c", F.col("first").alias("least"))
     out = T.StructType([
         rows.schema["doc_id"], T.StructField("n_words", T.LongType()),
