@@ -15,6 +15,9 @@ from __future__ import annotations
 
 import functools
 import math
+import os
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,50 +27,56 @@ from oppsearch.llm.texts import STEP_BYTES, utf8
 from oppsearch.session import written
 
 #: Words whose ids a Python worker remembers; when that many are known, it starts anew.
-KNOWN_WORDS = 600_000
-LONG_WORD = 256
+KNOWN_WORDS = 1_200_000
+#: Bytes of text whose new words are encoded together.
+LEARN_BYTES = 1 << 19
+#: Marks at the end of a word, which the tokenizer splits from the letter or digit before.
+END_MARKS = re.compile(rb"(?<=[a-z0-9])([.,;:!?%*&$#]+)(?!\S)")
 
 
 class WordEncoder:
-    """Token ids of a tokenizer that drops white space and splits there, as its file says: the ids
-    of a text are those of its words, so each distinct word is encoded once."""
+    """Token ids of a tokenizer that, as its file says, lower-cases, drops white space, and never
+    joins a letter or digit to a mark: the ids of a text are those of its parts, so each distinct
+    part is encoded once."""
 
     def __init__(self, path: str):
-        import os
-
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encoder = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
+    def parts(self, raw: bytes) -> list[bytes]:
+        """Words, end marks apart; the strings of special tokens keep their case."""
+        return raw.split() if b"<|" in raw else END_MARKS.sub(rb" \1", raw.lower()).split()
+
     def learn(self, words: list[bytes]) -> None:
         text = b" ".join(words).decode()
         found = self.encoder.encode(text, add_special_tokens=False)
         first = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
         lengths = np.fromiter((len(w.decode()) for w in words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1)
-        cuts = np.r_[0, np.searchsorted(first, ends)].tolist()
+        cuts = np.r_[0, np.searchsorted(first, np.cumsum(lengths + 1))].tolist()
         ids = np.array(found.ids, "<u4").tobytes()
         self.known.update((w, ids[4 * a:4 * b]) for w, a, b in zip(words, cuts, cuts[1:]))
 
-    def ids(self, words: list[bytes]) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        new = set(words).difference(self.known)
-        if new:
-            if len(self.known) > KNOWN_WORDS:
-                self.known.clear()
-                new = set(words)
-            new, size, part = sorted(new), 0, []
-            for w in new:
-                part.append(w)
-                size += len(w) + 1
-                if size > 1 << 16:
-                    self.learn(part)
-                    size, part = 0, []
-            if part:
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        split = [self.parts(t) for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known.clear()
+            new = set().union(*split)
+        part, size = [], 0
+        for w in new:
+            part.append(w)
+            size += len(w)
+            if size > 1 << 14:
                 self.learn(part)
-        return b"".join(map(self.known.__getitem__, words))
+                part, size = [], 0
+        if part:
+            self.learn(part)
+        look = self.known.__getitem__
+        return [b"".join(map(look, words)) for words in split]
 
 
 @functools.lru_cache(maxsize=2)
@@ -75,12 +84,23 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def encoded(texts: list[bytes | None], encode) -> Iterator[bytes]:
+    """The ids of each text, encoded in groups of about ``LEARN_BYTES``."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t or b"")
+        size += len(group[-1])
+        if size > LEARN_BYTES:
+            yield from encode(group)
+            group, size = [], 0
+    yield from encode(group)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text",
                  capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece (from 0), start, length and ids (binary: little-endian unsigned 32-bit).
 
-    ``tokenizer``: the file's place on every machine; one that splits at ASCII white space and
-    drops it. No shuffle.
+    ``tokenizer``: the file's place on every machine; of the kind ``WordEncoder`` says. No shuffle.
     """
     wanted = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text"))
     kind = wanted.schema["doc_id"]
@@ -93,7 +113,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
     def run(batches):
         encode = word_encoder(tokenizer).ids
         for b in batches:
-            texts, row, held = utf8(b.column(1)), 0, 0
+            texts, held = utf8(b.column(1)), 0
             out = ([], [], [], [], [])
 
             def full():
@@ -102,8 +122,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
                      pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()),
                      pa.array(out[4], pa.binary())], names=schema.names)
 
-            for row, raw in enumerate(texts):
-                ids = (encode(raw.split()) if raw else b"") + end
+            for row, ids in enumerate(encoded(texts, encode)):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     for column, value in zip(out, (row, piece, at // 4, len(part) // 4, part)):
