@@ -47,7 +47,7 @@ def uses_program_vectors(route: Column) -> Column:
 
 def anchor_token_weights(texts: dict[str, str] = V.ANCHOR_TEXTS) -> dict[str, list[float]]:
     """Token -> unit-length term weights, one per anchor in the order of ``ANCHOR_ROUTES``."""
-    counts = [Counter(t for t in re.split("[^a-z0-9]+", texts[r].lower()) if len(t) > 2)
+    counts = [Counter(re.findall(r"[^\W_]+", texts[r].lower()))
               for r in V.ANCHOR_ROUTES]
     norms = [math.sqrt(sum(n * n for n in c.values())) for c in counts]
     vocabulary = sorted(set().union(*counts))

@@ -72,8 +72,9 @@ def position_text(title: Column, position_type: Column, university: Column, city
     )
 
 
-def stored_text(c: Column, length: int) -> Column:
-    return F.left(text_or_empty(c), F.lit(length))
+def stored_text(c: Column, length: int | None = None) -> Column:
+    """The whole text, empty for NULL; ``length`` caps it for a store with fixed field sizes."""
+    return text_or_empty(c) if length is None else F.left(text_or_empty(c), F.lit(length))
 
 
 def strip_html(html: Column) -> Column:
@@ -86,6 +87,10 @@ def html_title(html: Column) -> Column:
     return F.regexp_extract(html, r"<title>([^<]*)</title>", 1)
 
 
-def tokens(text: Column, min_length: int = 3) -> Column:
-    """Lower-case ASCII words, with repeats."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: F.length(t) >= min_length)
+#: What stands between words: anything but letters and digits of any script.
+WORD_BREAK = r"[^\p{L}\p{N}]+"
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case words of every script and length, with repeats."""
+    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda t: t != "")

@@ -86,9 +86,12 @@ def retrieve(state: DataFrame, sources: Sources) -> DataFrame:
     field, web_search`` and is read by every branch, so it should be a stored table; each branch
     filters by the retrieval choice before it embeds or joins anything."""
     c = F.col
+    # only a stored category restricts: a profile field of another name is no filter
+    stored = sources.programs.select(c("field_category").alias("category")).distinct()
+    asked = state.filter(R.uses_structured(c("choice")))
     structured = structured_hits(
-        state.filter(R.uses_structured(c("choice"))).select(
-            "question_id", c("field").alias("category"),
+        asked.join(stored, asked["field"] == stored["category"], "left").select(
+            "question_id", "category",
             *[v.alias(n) for n, v in question_filters(c("query")).items()]),
         sources.programs, sources.finances, sources.as_of)
     described = vector_hits(state.filter(R.uses_program_vectors(c("choice"))),
@@ -142,9 +145,7 @@ def evaluate_questions(labelled: DataFrame, sources: Sources,
         "*", *[v.alias(f) for f, v in held.items()], F.lit(False).alias("web_search"),
         R.profile_complete(held["degree_level"], held["field"]).alias("profile_complete"))
     state = written(gate(routed), "labelled-state")
-    # the mock field need not be a stored category: it narrows the text, not the rows
-    rows = retrieve(state.withColumn("field", none), sources)
-    return with_contexts(state, rows).select(
+    return with_contexts(state, retrieve(state, sources)).select(
         "question_id", "query", "expected", F.col("route").alias("predicted"),
         (F.col("route") == F.col("expected")).alias("route_correct"),
         F.col("n_db").alias("db_hits"), F.col("n_program").alias("vec_hits"),

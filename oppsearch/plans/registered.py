@@ -27,10 +27,17 @@ from oppsearch.streaming.indexing import start_indexing, stream_documents
 from oppsearch.streaming.turns import read_turn_stream, state_store_settings, stream_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+
+def words_sql(text: str) -> str:
+    """The lower-case words of an SQL text, as a list."""
+    return ("list_filter(string_split_regex(lower(" + text
+            + r"), '[^\p{L}\p{N}]+'), lambda x: x <> '')")
+
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 AS_OF = dt.date(1998, 1, 1)
-TEST_DIM = 256
 c = F.col
 
 
@@ -346,11 +353,11 @@ def position_text(spark, sf):
 
 
 @query(cte("position_docs") + "SELECT doc_id, " + ", ".join(
-    f"left(coalesce({n}, ''), {k}) AS {n}" for n, k in V.POSITION_TEXT_LENGTHS.items())
+    f"coalesce({n}, '') AS {n}" for n in V.POSITION_TEXT_LENGTHS)
     + " FROM position_docs")
 def stored_fields(spark, sf):
     return view(spark, sf, "position_docs").select("doc_id", *[
-        X.stored_text(c(n), k).alias(n) for n, k in V.POSITION_TEXT_LENGTHS.items()])
+        X.stored_text(c(n)).alias(n) for n in V.POSITION_TEXT_LENGTHS])
 
 
 @query(r"""
@@ -437,7 +444,7 @@ def records_without_chunks(spark, sf):
 
 
 def _embed(df: DataFrame, text: str) -> DataFrame:
-    return hash_embed(df, text, TEST_DIM)
+    return hash_embed(df, text)
 
 
 def _unique_documents(spark, sf) -> DataFrame:
@@ -466,7 +473,7 @@ def _index_twice(spark, sf, kind: str) -> DataFrame:
 
 
 @query(STORED_TEXT_SQL + """
-SELECT official_url AS url, left(name, 512) AS university_name, length(text) > 4000 AS is_long
+SELECT official_url AS url, name AS university_name, length(text) > 4000 AS is_long
 FROM composed WHERE _source IS NULL OR _source <> 'scraped_universities'""")
 def index_programs(spark, sf):
     """One row per indexed record after two runs over the same records."""
@@ -648,14 +655,12 @@ def semantic_topk(spark, sf):
 # ---------------------------------------------------------------- lexical search
 
 def _lexical_sql(query_cte: str, text_cte: str, payload: str, k: int) -> str:
-    words = ("unnest(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), "
-             "lambda x: length(x) >= 3))")
     return f"""
 WITH q AS ({query_cte}), d AS ({text_cte}),
 qt AS (SELECT query_id, term, count(*) AS tf
-       FROM (SELECT query_id, {words.format('query')} AS term FROM q) GROUP BY ALL),
+       FROM (SELECT query_id, unnest({words_sql('query')}) AS term FROM q) GROUP BY ALL),
 dt AS (SELECT id, term, count(*) AS tf
-       FROM (SELECT id, {words.format('text')} AS term FROM d) GROUP BY ALL),
+       FROM (SELECT id, unnest({words_sql('text')}) AS term FROM d) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
 qw AS (SELECT query_id, term, (1 + ln(tf)) * ln(1 + (SELECT count(*) FROM d) / df) AS w
        FROM qt JOIN df USING (term)),
@@ -706,13 +711,14 @@ def _extract(pattern: str, column: str) -> str:
 
 ANCHOR_ROWS = ", ".join(f"({_quoted(r)}, {_quoted(t)})" for r, t in V.ANCHOR_TEXTS.items())
 STATE_SQL = cte("turns", "fields") + rf""",
-words AS (SELECT *, list_filter(string_split_regex(lower(question), '[^a-z0-9]+'),
-                                lambda x: x <> '') AS w FROM turns),
+words AS (SELECT *, {words_sql('question')} AS w FROM turns),
+names AS (SELECT w, array_to_string(w, ' ') AS term, min(name) AS name
+          FROM (SELECT name, {words_sql('name')} AS w FROM fields) WHERE len(w) > 0 GROUP BY ALL),
 runs AS (SELECT thread, turn, p, m, array_to_string(w[p:p + m - 1], ' ') AS term
-         FROM (SELECT thread, turn, w, p, unnest(range(1, least(3, len(w) - p + 1) + 1)) AS m
+         FROM (SELECT thread, turn, w, p, unnest(range(1, least(
+                (SELECT max(len(w)) FROM names), len(w) - p + 1) + 1)) AS m
                FROM (SELECT thread, turn, w, unnest(range(1, len(w) + 1)) AS p FROM words))),
-names AS (SELECT lower(name) AS term, min(name) AS name FROM fields GROUP BY 1),
-found AS (SELECT thread, turn, arg_min(name, p * 10 - m) AS field
+found AS (SELECT thread, turn, arg_min(name, p * 1000 - m) AS field
           FROM runs JOIN names USING (term) GROUP BY ALL),
 own AS (SELECT t.thread, t.turn, t.question, t.web_search, f.field,
           {_extract(P.EDUCATION, 'question')} AS current_education,
@@ -723,11 +729,10 @@ prof AS (SELECT * EXCLUDE (rest), CASE WHEN regexp_matches(rest, {_quoted(P.PHD)
           WHEN regexp_matches(rest, {_quoted(P.MS)}) THEN 'MS'
           WHEN regexp_matches(rest, {_quoted(P.BS)}) THEN 'BS' END AS degree_level FROM own),
 anchors(route, body) AS (VALUES {ANCHOR_ROWS}),
-atf AS (SELECT route, term, count(*) AS n FROM (SELECT route, unnest(list_filter(
-          string_split_regex(lower(body), '[^a-z0-9]+'), lambda x: length(x) >= 3)) AS term
+atf AS (SELECT route, term, count(*) AS n FROM (SELECT route, unnest({words_sql('body')}) AS term
         FROM anchors) GROUP BY ALL),
 aw AS (SELECT route, term, n / sqrt(sum(n * n) OVER (PARTITION BY route)) AS w FROM atf),
-qset AS (SELECT thread, turn, unnest(list_distinct(list_filter(w, lambda x: length(x) >= 3))) AS term
+qset AS (SELECT thread, turn, unnest(list_distinct(w)) AS term
          FROM words),
 qn AS (SELECT thread, turn, count(*) AS n FROM qset GROUP BY ALL),
 dots AS (SELECT thread, turn, route, sum(w) AS dot FROM qset JOIN aw USING (term) GROUP BY ALL),
@@ -864,7 +869,8 @@ FILTERS_SQL = cte("programs", "finances") + """,
 wanted AS (SELECT item_id AS question_id,
    CASE item_id % 4 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' WHEN 2 THEN 'FURNITURE' END
        AS category,
-   CASE WHEN item_id % 3 = 0 THEN CAST(3000 + item_id AS INT) END AS max_fee_eu,
+   CASE WHEN item_id % 3 = 0 THEN 3000 + item_id END AS max_fee_eu,
+   CASE WHEN item_id % 7 = 0 THEN 4000 + item_id END AS max_fee_non_eu,
    item_id % 5 = 0 AS funded, item_id % 2 = 0 AS upcoming_only FROM benchmark),
 joined AS (SELECT *, coalesce(deadline_ir >= DATE '1998-01-01', false) AS upcoming
            FROM programs LEFT JOIN finances ON university_id = id),
@@ -873,6 +879,8 @@ hits AS (SELECT w.question_id, j.*, row_number() OVER (PARTITION BY w.question_i
    FROM wanted w JOIN joined j ON (w.category IS NULL OR w.category = j.field_category)
      AND (w.max_fee_eu IS NULL OR (j.university_id IS NOT NULL AND
           (j.tuition_fee_eu_per_year IS NULL OR j.tuition_fee_eu_per_year <= w.max_fee_eu)))
+     AND (w.max_fee_non_eu IS NULL OR (j.university_id IS NOT NULL AND
+          coalesce(j.tuition_fee_non_eu_per_year, 0) <= w.max_fee_non_eu))
      AND (NOT w.funded OR json_contains(j.funding_category, '["fully_funded"]'))
      AND (NOT w.upcoming_only OR j.upcoming)),
 top AS (SELECT * FROM hits WHERE rank <= 20)
@@ -885,7 +893,8 @@ def _wanted(spark, sf) -> DataFrame:
         i.alias("question_id"),
         F.when(i % 4 == 0, "BUILDING").when(i % 4 == 1, "MACHINERY").when(i % 4 == 2, "FURNITURE")
         .alias("category"),
-        F.when(i % 3 == 0, (3000 + i).cast("int")).alias("max_fee_eu"),
+        F.when(i % 3 == 0, (3000 + i).cast("long")).alias("max_fee_eu"),
+        F.when(i % 7 == 0, (4000 + i).cast("long")).alias("max_fee_non_eu"),
         F.when(i % 5 == 0, F.array(F.lit("fully_funded"))).otherwise(F.array().cast("array<string>"))
         .alias("funding_all_of"),
         (i % 2 == 0).alias("upcoming_only"))
@@ -1043,8 +1052,11 @@ def _answer(spark, sf) -> DataFrame:
 
 ANSWER_SQL = STATE_SQL.replace("WITH turns", "WITH " + cte("programs", "finances").removeprefix(
     "WITH ") + ",\nturns", 1) + rf""",
-asked AS (SELECT thread, turn, field AS category,
-   TRY_CAST(replace(regexp_extract(query, {_quoted(P.FEE_CAP)}, 1), ',', '') AS INT) AS cap,
+asked AS (SELECT thread, turn,
+   CASE WHEN field IN (SELECT field_category FROM programs) THEN field END AS category,
+   TRY_CAST(regexp_replace(coalesce({', '.join(
+     f"nullif(regexp_extract(query, {_quoted(p)}, 1), '')" for p in P.FEE_CAPS)}), '[^0-9]', '', 'g')
+     AS BIGINT) AS cap, regexp_matches(query, {_quoted(P.NON_EU)}) AS non_eu,
    list_filter([CASE WHEN regexp_matches(lower(query), 'fully[- _]funded') THEN 'fully_funded' END,
      CASE WHEN regexp_matches(lower(query), 'tuition[- _]free') THEN 'tuition_free' END,
      CASE WHEN regexp_matches(lower(query), 'self[- _]funded') THEN 'self_funded' END],
@@ -1056,7 +1068,8 @@ matched AS (SELECT thread, turn, least(20, count(*)) AS n FROM asked JOIN (
      FROM programs LEFT JOIN finances ON university_id = id) j
    ON (category IS NULL OR category = field_category)
    AND (cap IS NULL OR (university_id IS NOT NULL AND
-        (tuition_fee_eu_per_year IS NULL OR tuition_fee_eu_per_year <= cap)))
+        coalesce(CASE WHEN non_eu THEN tuition_fee_non_eu_per_year ELSE tuition_fee_eu_per_year END,
+                 0) <= cap))
    AND (len(funding) = 0 OR coalesce(list_has_all(from_json(funding_category, '["VARCHAR"]'),
         funding), false))
    AND (NOT upcoming_only OR upcoming) GROUP BY ALL),
@@ -1122,12 +1135,10 @@ parsed AS (SELECT doc_id, regexp_extract({STRIP.format('line')}, '^\[(\w+)\]\s+(
    FROM labelled_lines WHERE NOT starts_with({STRIP.format('line')}, '#')),
 lab AS (SELECT * FROM parsed WHERE expected <> ''),
 anchors(route, body) AS (VALUES {ANCHOR_ROWS}),
-atf AS (SELECT route, term, count(*) AS n FROM (SELECT route, unnest(list_filter(
-          string_split_regex(lower(body), '[^a-z0-9]+'), lambda x: length(x) >= 3)) AS term
+atf AS (SELECT route, term, count(*) AS n FROM (SELECT route, unnest({words_sql('body')}) AS term
         FROM anchors) GROUP BY ALL),
 aw AS (SELECT route, term, n / sqrt(sum(n * n) OVER (PARTITION BY route)) AS w FROM atf),
-qset AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(query),
-           '[^a-z0-9]+'), lambda x: length(x) >= 3))) AS term FROM lab),
+qset AS (SELECT doc_id, unnest(list_distinct({words_sql('query')})) AS term FROM lab),
 qn AS (SELECT doc_id, count(*) AS n FROM qset GROUP BY ALL),
 dots AS (SELECT doc_id, route, sum(w) AS dot FROM qset JOIN aw USING (term) GROUP BY ALL),
 sc AS (SELECT doc_id, {', '.join(
@@ -1229,7 +1240,7 @@ def grounding_rate(spark, sf):
 
 
 @query(cte("answers") + """
-SELECT conv_id, turn, left(context, 2000) AS context, left(answer, 800) AS answer FROM answers""")
+SELECT conv_id, turn, context, answer FROM answers""")
 def judge_inputs(spark, sf):
     return E.judge_inputs(view(spark, sf, "answers"), "answer", "context")
 
@@ -1256,7 +1267,7 @@ def json_docs_load(spark, sf):
 # ---------------------------------------------------------------- streams
 
 @query(STORED_TEXT_SQL + """
-SELECT official_url AS url, left(name, 512) AS university_name, length(text) > 4000 AS is_long
+SELECT official_url AS url, name AS university_name, length(text) > 4000 AS is_long
 FROM composed WHERE _source IS NULL OR _source <> 'scraped_universities'""")
 def stream_index(spark, sf):
     """The same table as the batch run, from a stream over files and with a second, empty run."""

@@ -96,7 +96,9 @@ VIEWS = {
         LEFT JOIN {supplier} s ON s.s_suppkey = d.n_chars % 10
         LEFT JOIN {nation} n ON n.n_nationkey = s.s_nationkey""",
     "fields": """
-        SELECT c_mktsegment AS name FROM {customer} UNION SELECT p_name AS name FROM {part}""",
+        SELECT c_mktsegment AS name FROM {customer} UNION SELECT p_name AS name FROM {part}
+        UNION SELECT 'Electrical and Computer Engineering' UNION SELECT 'Business & Economics'
+        UNION SELECT 'Géographie'""",
     # every question asked, followed by a phrase that carries intent or profile
     "turns": """
         SELECT CAST(conv_id AS STRING) AS thread, turn,
@@ -104,9 +106,9 @@ VIEWS = {
                    WHEN 0 THEN ' Show me fully funded programs, tuition fee under €5,000.'
                    WHEN 1 THEN ' I want to do a PhD.'
                    WHEN 2 THEN ' My field is Machinery.'
-                   WHEN 3 THEN ' Program description, curriculum overview, admission requirements?'
+                   WHEN 3 THEN ' Program description, curriculum overview, admission requirements? Electrical, and computer engineering.'
                    WHEN 4 THEN ' I hold a BSc Physics at Ulm and want a master''s in blue bolt, specializing in soft matter.'
-                   WHEN 5 THEN ' PhD position, supervised research, join a research group.'
+                   WHEN 5 THEN ' PhD position, supervised research, join a research group in GÉOGRAPHIE; business economics.'
                    WHEN 6 THEN ' Building programs: upcoming deadlines, tuition fee, program description, admission requirements?' END)
                    AS question,
                conv_id % 2 = 0 AS web_search

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import re
@@ -52,7 +53,9 @@ def _one_machine(spark: SparkSession) -> bool:
 
 @functools.cache
 def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="oppsearch-")
+    base = tempfile.mkdtemp(prefix="oppsearch-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -67,14 +67,16 @@ def test_many_questions_equal_single_searches(spark, tables, limit):
              (6, None, 10, ["tuition_free", "self_funded"], True)]
     q = spark.createDataFrame(asked, "question_id int, category string, max_fee_eu int, "
                                      "funding_all_of array<string>, upcoming_only boolean")
+    q = q.withColumn("max_fee_non_eu", F.when(F.col("question_id") == 5, 6000))
     got = {}
     for r in structured_hits(q, p, f, AS_OF, limit).orderBy("question_id", "rank").collect():
         got.setdefault(r.question_id, []).append(r.id)
     for i, cat, fee, funding, upcoming in asked:
-        need_f = fee is not None or bool(funding)
+        need_f = fee is not None or bool(funding) or i == 5
         single = program_search(
             p, f if need_f else None, as_of=AS_OF, categories=[cat] if cat else None,
-            max_fee_eu=fee, funding_all_of=funding or None,
+            max_fee_eu=fee, max_fee_non_eu=6000 if i == 5 else None,
+            funding_all_of=funding or None,
             deadline_from=AS_OF if upcoming else None, limit=limit)
         assert got.get(i, []) == [r.id for r in single.collect()], i
 

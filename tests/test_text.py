@@ -93,3 +93,13 @@ def test_cards(spark):
                    "- **Deadline**: Open / Rolling")
     text = d.select(cards.json_row("p", "b")).first()[0]
     assert text == '{"p":"P","b":null}'
+
+
+def test_words_of_every_script_and_length(spark):
+    from oppsearch.functions.text import tokens
+
+    texts = ["AI and ML at ETH", "Künstliche Intelligenz", "Привет, мир", None, "a_b c-3"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.w for r in df.select(tokens(F.col("t")).alias("w")).collect()] == [
+        ["ai", "and", "ml", "at", "eth"], ["künstliche", "intelligenz"], ["привет", "мир"], None,
+        ["a", "b", "c", "3"]]

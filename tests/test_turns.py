@@ -149,8 +149,34 @@ def test_question_filters(spark):
         [("Fully-funded programs under €5,000 with upcoming deadlines",), ("hello",)], "t string")
     f = P.question_filters(F.col("t"))
     rows = df.select(*[v.alias(k) for k, v in f.items()]).collect()
-    assert tuple(rows[0]) == (5000, ["fully_funded"], True)
-    assert tuple(rows[1]) == (None, [], False)
+    assert tuple(rows[0]) == (5000, None, ["fully_funded"], True)
+    assert tuple(rows[1]) == (None, None, [], False)
+
+
+def test_fee_limits(spark):
+    cases = {"under €10,000,000": (10_000_000, None), "finish in under 3 years": (None, None),
+             "up to 5 000 euro a year": (5000, None), "below EUR 900.": (900, None),
+             "non-EU tuition under €4000": (None, 4000), "tuition below 1.500": (1500, None),
+             "fees. Up to 7 people": (None, None), "up to 20 europeans": (None, None)}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    f = P.question_filters(F.col("t"))
+    got = {r.t: (r.a, r.b) for r in df.select(
+        "t", f["max_fee_eu"].alias("a"), f["max_fee_non_eu"].alias("b")).collect()}
+    assert got == cases
+
+
+def test_field_names_of_any_length_and_script(spark):
+    names = spark.createDataFrame([(n,) for n in (
+        "Electrical and Computer Engineering", "Business & Economics", "Géographie", "Engineering",
+        "--")], "name string")
+    cases = ["electrical  and computer engineering", "BUSINESS economics", "la géographie!",
+             "an engineering degree", "электро", ""]
+    messages = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = {r.i: r.field for r in P.find_fields(messages, ["i"], "t", names, "name").collect()}
+    assert got == {0: "Electrical and Computer Engineering", 1: "Business & Economics",
+                   2: "Géographie", 3: "Engineering"}
+    none = spark.createDataFrame([], "name string")
+    assert P.find_fields(messages, ["i"], "t", none, "name").collect() == []
 
 
 def test_sample_questions_route(spark):
