@@ -7,8 +7,6 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from oppsearch import fixed_values as V
@@ -17,6 +15,10 @@ from oppsearch.functions.text import tokens
 from oppsearch.operators.blocks import attach, blocked_topk, measure
 
 
+#: Vectors that one step of a task holds.
+EMBED_ROWS = 1024
+
+
 class EmbeddingProvider(Protocol):
     """A client of an embedding model; it is serialised to the executors."""
 
@@ -57,19 +59,41 @@ def embed_with(df: DataFrame, text: str, provider: EmbeddingProvider) -> DataFra
 
 def hash_embed(df: DataFrame, text: str, dim: int = V.EMBED_DIM,
                idf_from: DataFrame | None = None) -> DataFrame:
-    """Offline default: hashed word counts scaled to unit length, computed in the JVM. With
-    ``idf_from`` (a table with the same text column) counts are weighted by rarity there. It stands
-    in for a hosted model and makes no claim to its quality."""
-    tf = HashingTF(numFeatures=dim, inputCol="_tokens", outputCol="_tf")
-    last = "_tf"
-    hashed = tf.transform(df.withColumn("_tokens", F.coalesce(tokens(F.col(text)), F.array())))
+    """Offline default: word counts in ``dim`` buckets of the words' MD5, scaled to unit length.
+    With ``idf_from`` (a table with the same text column) counts are weighted by rarity there. It
+    stands in for a hosted model and makes no claim to its quality."""
+    def buckets(t: Column) -> Column:
+        return F.transform(F.coalesce(tokens(t), F.array()), lambda w: F.pmod(
+            F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)))
+
+    rarity = np.ones(dim)
     if idf_from is not None:
-        fitted = IDF(inputCol="_tf", outputCol="_tfidf").fit(
-            tf.transform(idf_from.select(F.coalesce(tokens(F.col(text)), F.array())
-                                         .alias("_tokens"))))
-        hashed, last = fitted.transform(hashed), "_tfidf"
-    unit = Normalizer(inputCol=last, outputCol="_unit").transform(hashed)
-    return unit.select(*df.columns, vector_to_array("_unit", "float32").alias("embedding"))
+        held = idf_from.select(F.explode(F.array_distinct(buckets(F.col(text)))).alias("b"))
+        total, seen = idf_from.count(), np.zeros(dim)
+        for r in held.groupBy("b").count().collect():  # at most one row for each bucket
+            seen[r.b] = r["count"]
+        rarity = np.log((total + 1) / (seen + 1))
+    schema = T.StructType([*df.schema.fields,
+                           T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, EMBED_ROWS):
+                batch = whole.slice(start, EMBED_ROWS)
+                lists = batch.column(batch.num_columns - 1)
+                sizes = lists.value_lengths().to_numpy()
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                counts = np.bincount(row * dim + lists.flatten().to_numpy(),
+                                     minlength=len(sizes) * dim).reshape(-1, dim) * rarity
+                norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+                unit = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
+                offsets = pa.array(np.arange(0, len(sizes) * dim + 1, dim, dtype=np.int32))
+                vectors = pa.ListArray.from_arrays(offsets, pa.array(
+                    unit.astype(np.float32).ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors],
+                                                 names=schema.names)
+
+    return df.withColumn("_buckets", buckets(F.col(text))).mapInArrow(run, schema)
 
 
 def inner_product(a: Column, b: Column) -> Column:

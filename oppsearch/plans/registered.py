@@ -17,7 +17,8 @@ from oppsearch.operators import context as C, evaluate as E, index as I, load as
 from oppsearch.operators.lexical import lexical_search, search_pages
 from oppsearch.operators.search import has_all, in_domain, program_search, within_budget
 from oppsearch.operators.structured import structured_hits
-from oppsearch.operators.vectors import anchor_scores, hash_embed, nearest, vector_search
+from oppsearch.operators.vectors import (
+    anchor_scores, hash_embed, nearest, vector_router, vector_search)
 from oppsearch.plans.answer import (
     Sources, accept_questions, answer_questions, evaluate_questions, prepare_turns, question_state)
 from oppsearch.plans.views import cte, program_documents, table, typed_finances, view
@@ -150,6 +151,19 @@ def domain_semi_join(spark, sf):
                      "field_category").select("id", "field_category", "program_name")
 
 
+@query(cte("programs", "domain") + """
+SELECT id, field_category, program_name FROM programs
+WHERE field_category IN (SELECT field_category FROM domain)""")
+def domain_file_join(spark, sf):
+    """The allowed values come from a file that holds one JSON array."""
+    folder = scratch_dir(spark, "domain")
+    values = view(spark, sf, "domain").agg(F.to_json(F.sort_array(F.collect_set("field_category"))))
+    values.write.text(folder)  # the domain is a short list by its nature
+    return in_domain(view(spark, sf, "programs"), "field_category",
+                     files.read_domain(spark, folder), "field_category").select(
+        "id", "field_category", "program_name")
+
+
 # ---------------------------------------------------------------- loading
 
 @query("""
@@ -642,16 +656,64 @@ def anchor_keyset(spark, sf):
         extra.select(F.lit("extra").alias("side"), "route"))
 
 
-@query(None)
+def embedded_sql(name: str, rows: str) -> str:
+    """CTEs with the vectors of the texts of ``rows`` (id, text) as ``name`` (id, bucket, w)."""
+    return f"""{name}_n AS (
+  SELECT id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % {V.EMBED_DIM} AS bucket, count(*) AS n
+  FROM (SELECT id, unnest({words_sql('text')}) AS term FROM ({rows})) GROUP BY ALL),
+{name} AS (SELECT id, bucket, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS FLOAT)
+  AS DOUBLE) AS w FROM {name}_n)"""
+
+
+BENCHMARK_ROWS = "SELECT item_id AS id, text FROM benchmark"
+
+
+@query(BOUNDARY_SQL.replace(")\nSELECT doc_id, CAST(row", "),\nall_chunks AS (SELECT doc_id, CAST(row")
+       + "), " + embedded_sql("d", "SELECT doc_id * 10000 + chunk_idx AS id, chunk AS text "
+                                   "FROM all_chunks") + ", "
+       + embedded_sql("q", BENCHMARK_ROWS) + """,
+s AS (SELECT q.id AS query_id, d.id, round(sum(q.w * d.w), 6) AS score FROM q JOIN d USING (bucket)
+      GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, id, score, CAST(rank AS INT) AS rank, id // 10000 AS doc_id,
+       CAST(id % 10000 AS INT) AS chunk_idx FROM r WHERE rank <= 5""")
 def semantic_topk(spark, sf):
     """Hash-embedded benchmark questions against hash-embedded chunks of all documents."""
     chunks = boundary_chunks(table(spark, sf, "documents").select("doc_id", "text"), "text")
-    stored = _embed(chunks, "chunk").withColumn("id", F.xxhash64("doc_id", "chunk_idx"))
+    stored = _embed(chunks, "chunk").withColumn("id", c("doc_id") * 10_000 + c("chunk_idx"))
     asked = _embed(table(spark, sf, "benchmark"), "text").select(
         c("item_id").alias("query_id"), c("embedding").alias("query_vector"))
     return vector_search(stored, asked, payload=["doc_id", "chunk_idx"])
 
 
+@query("WITH anchors(route, body) AS (VALUES " + ", ".join(
+    f"('{r}', '" + t.replace("'", "''") + "')" for r, t in V.ANCHOR_TEXTS.items()) + "), "
+    + embedded_sql("a", "SELECT route AS id, body AS text FROM anchors") + ", "
+    + embedded_sql("q", "SELECT doc_id AS id, text FROM documents") + """,
+an AS (SELECT id, sqrt(sum(w * w)) AS n FROM a GROUP BY id),
+qn AS (SELECT id, sqrt(sum(w * w)) AS n FROM q GROUP BY id),
+s AS (SELECT q.id, a.id AS route, sum(q.w * a.w) AS dot FROM q JOIN a USING (bucket) GROUP BY ALL),
+p AS (SELECT documents.doc_id, """ + ", ".join(
+    f"round(coalesce(max(dot / qn.n / an.n) FILTER (route = '{r}'), 0), 6) AS {r}"
+    for r in V.ANCHOR_ROUTES) + """
+  FROM documents LEFT JOIN s ON s.id = doc_id LEFT JOIN qn ON qn.id = doc_id
+  LEFT JOIN an ON an.id = route GROUP BY ALL)
+SELECT doc_id, CASE
+    WHEN professor > chat AND professor >= db AND professor >= semantic THEN 'professor_search'
+    WHEN db > chat AND semantic > chat AND abs(db - semantic) < 0.1 THEN 'hybrid'
+    WHEN db > chat AND semantic > chat AND db > semantic THEN 'query_db'
+    WHEN db > chat AND semantic > chat THEN 'vector_search'
+    WHEN db > chat THEN 'query_db' WHEN semantic > chat THEN 'vector_search'
+    ELSE 'respond' END AS route FROM p""")
+def stored_anchor_route(spark, sf):
+    """All documents routed by anchor vectors that are stored once and then loaded."""
+    folder = scratch_dir(spark, "anchors")
+    tables.load_anchors(spark, folder, _embed)
+    anchors = tables.load_anchors(spark, folder, _embed)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return vector_router(_embed, anchors)(docs, "text").select("doc_id", "route")
+
+
 # ---------------------------------------------------------------- lexical search
 
 def _lexical_sql(query_cte: str, text_cte: str, payload: str, k: int) -> str:
@@ -1264,6 +1326,18 @@ def json_docs_load(spark, sf):
         "url", "university_name", "text")
 
 
+@query(cte("position_docs") + " SELECT doc_id, text FROM (" + POSITION_TEXT_SQL + ")")
+def position_docs_load(spark, sf):
+    """Position documents written as JSON and read back with the declared schema."""
+    folder = scratch_dir(spark, "positions-json")
+    docs = view(spark, sf, "position_docs").withColumn("email", c("doc_id").cast("string"))
+    docs.write.json(folder)
+    read = files.read_position_docs(spark, folder, lines=True)
+    return read.select(c("email").cast("long").alias("doc_id"), X.position_text(*[c(n) for n in (
+        "title", "position_type", "university", "city", "country", "professor_name", "department",
+        "research_areas", "description", "requirements", "funding", "deadline")]).alias("text"))
+
+
 # ---------------------------------------------------------------- streams
 
 @query(STORED_TEXT_SQL + """

@@ -50,7 +50,8 @@ def test_topk_is_cut_before_the_shuffle(spark, name):
     text = plan(registered.QUERIES[name](spark, SF))
     assert text.count("WindowGroupLimit") >= 2 and "Partial" in text
     # the table crosses into Python once, without a join, and only the k best are shuffled
-    assert "Join" not in text
+    # (semantic_topk joins payload columns to its few hits)
+    assert "SortMergeJoin" not in text and ("Join" not in text or name == "semantic_topk")
     shuffles = re.findall(r"hashpartitioning\((\w+)#", text)
     assert set(shuffles) == {"query_id"}
 

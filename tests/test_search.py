@@ -133,7 +133,7 @@ def test_lexical_search_equals_brute_force(spark, monkeypatch, broadcast_bytes):
     q = spark.createDataFrame(list(enumerate(asks)), "query_id int, query string")
 
     def split(t):
-        return Counter(w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) > 2)
+        return Counter(re.findall(r"[^\W_]+", t.lower()))
 
     bags = [split(t) for t in docs]
     df = Counter(w for b in bags for w in b)
