@@ -29,9 +29,13 @@ def build_session(app: str = "oppsearch", master: str | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        # a row of a vector table has thousands of numbers: fewer rows at once fit any heap
+        .config("spark.sql.parquet.columnarReaderBatchSize", "1024")
     )
     if master:
         b = b.master(master).config("spark.ui.enabled", "false")
+        if master.startswith("local"):  # the driver is the only process, with all tasks in it
+            b = b.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
