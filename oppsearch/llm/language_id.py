@@ -30,6 +30,8 @@ BUCKETS = 1 << 15
 TRAIN_ROWS = 20_000
 #: A text is ambiguous below this gap between the two smallest losses, as a share of their sum.
 MIN_GAP = 0.02
+#: Steps of the share of rows that is sampled: fine enough for any number of rows.
+SHARE_STEPS = 1 << 50
 
 #: Letters of ASCII in lower case, all else of ASCII as a space; other bytes stay.
 _FOLD = np.array([b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32
@@ -116,10 +118,10 @@ def _sample(labelled: DataFrame, key: str, lang: str, rows: int) -> DataFrame:
     """About ``rows`` rows by a hash of the key, as many of each language as there are."""
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     each = rows / max(1, len(counts))
-    chosen = F.pmod(F.xxhash64(key), F.lit(1 << 20))
+    chosen = F.pmod(F.xxhash64(key), F.lit(SHARE_STEPS))
     share = F.lit(False)
     for name, n in counts.items():
-        share = share | ((F.col(lang) == name) & (chosen < int(min(1.0, each / n) * (1 << 20))))
+        share = share | ((F.col(lang) == name) & (chosen < int(min(1.0, each / n) * SHARE_STEPS)))
     return labelled.filter(share)
 
 

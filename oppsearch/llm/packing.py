@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from oppsearch.llm.texts import STEP_BYTES, utf8
+from oppsearch.llm.texts import STEP_BYTES, unused, utf8
 from oppsearch.session import written
 
 #: Words whose ids a Python worker remembers; when that many are known, it starts anew.
@@ -168,15 +168,17 @@ def place(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 def pack(pieces: DataFrame, *, length: str = "length", capacity: int = 2048,
          group_rows: int = 65_536, tail: float = 0.2) -> DataFrame:
-    """All columns of ``pieces`` plus sequence_id and offset.
+    """All columns of ``pieces`` plus sequence_id and offset, which replace columns of that name.
 
     The last ``tail`` of a group goes in by falling length, to close what is still open.
     """
-    pieces = written(pieces.withColumn("_key", F.monotonically_increasing_id()), "pieces")
+    pieces = pieces.drop("sequence_id", "offset")
+    own = unused(pieces, "_key")
+    pieces = written(pieces.withColumn(own, F.monotonically_increasing_id()), "pieces")
     n = pieces.count()
     groups = max(1, math.ceil(n / group_rows))
-    narrow = pieces.select("_key", F.col(length).cast("long").alias("_length"),
-                           F.pmod(F.xxhash64("_key"), F.lit(groups)).alias("_group"))
+    narrow = pieces.select(F.col(own).alias("_key"), F.col(length).cast("long").alias("_length"),
+                           F.pmod(F.xxhash64(own), F.lit(groups)).alias("_group"))
     schema = "_key long, sequence_id long, offset long"
 
     def run(key, table):
@@ -193,4 +195,4 @@ def pack(pieces: DataFrame, *, length: str = "length", capacity: int = 2048,
                          "offset": np.array(offset, np.int64)})
 
     placed = narrow.groupBy("_group").applyInArrow(run, schema)
-    return pieces.join(placed, "_key").drop("_key")
+    return pieces.join(placed.withColumnRenamed("_key", own), own).drop(own)

@@ -67,7 +67,8 @@ def assign_shards(docs: DataFrame, weights: list[float], *, key: str = "doc_id",
 
 def write_shards(docs: DataFrame, path: str, weights: list[float], *, key: str = "doc_id",
                  tasks_per_shard: int = 8, rows_per_file: int = 1_000_000) -> None:
-    """Whole rows as Parquet folders ``shard=N``; each shard is written by several tasks."""
+    """Whole rows as Parquet folders ``shard=N``; each shard is written by several tasks.
+    A column called shard is replaced."""
     shard = rendezvous(F.col(key), weights)
     part = F.pmod(F.xxhash64(key), F.lit(tasks_per_shard))
     docs.withColumn("shard", shard).repartition(F.col("shard"), part).write.option(

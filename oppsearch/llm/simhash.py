@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from oppsearch.llm.texts import LOWER, utf8, word_steps
+from oppsearch.llm.texts import LOWER, unused, utf8, word_steps
 from oppsearch.session import written
 
 
@@ -139,8 +139,9 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def key(i, m):
         return F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), F.hex(m))
 
-    kept = first.select(key(F.col("k.i"), F.col("k.m")).alias("_key"))
-    ranked = docs.withColumn("_key", key(F.col(doc_id), mark)).join(kept, "_key", "left_semi")
-    alone = Window.partitionBy("_key").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    return ranked.withColumn("_nth", F.row_number().over(alone)).filter("_nth = 1").select(
+    own, nth = unused(docs, "_key"), unused(docs, "_nth")
+    kept = first.select(key(F.col("k.i"), F.col("k.m")).alias(own))
+    ranked = docs.withColumn(own, key(F.col(doc_id), mark)).join(kept, own, "left_semi")
+    alone = Window.partitionBy(own).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
+    return ranked.withColumn(nth, F.row_number().over(alone)).filter(F.col(nth) == 1).select(
         *docs.columns)

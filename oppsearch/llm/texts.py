@@ -146,6 +146,14 @@ def bucket_of(key: Column, splits: list) -> Column:
     return F.when(key.isNull(), 0).otherwise(inside).cast("int")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one with more underscores in front if a column is called that already."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """UTF-8 bytes of all texts."""
     return df.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0

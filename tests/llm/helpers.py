@@ -27,6 +27,7 @@ def clashing(df):
     """The table with extra columns named like what the operators make inside."""
     from pyspark.sql import functions as F
 
-    for name in ("fp", "block", "rank", "range", "ids", "spans", "shard", "host", "_text", "_id"):
+    for name in ("fp", "block", "rank", "range", "ids", "spans", "shard", "host", "_text", "_id",
+                 "_key", "_nth", "_group", "_row"):
         df = df.withColumn(name, F.lit("extra"))
     return df

@@ -149,6 +149,7 @@ def test_one_of_each_group_stays(spark):
     for k, r in root.items():
         groups[r].append(fps[k][0])
     rows = kept.collect()
+    assert {(r._key, r._nth) for r in rows} == {("extra", "extra")}
     assert sorted(10**9 if r.doc_id is None else r.doc_id for r in rows) == sorted(
         min(g) for g in groups.values())
 
@@ -347,6 +348,15 @@ def test_packed_pieces_hold_all_tokens(spark, documents, tokenizer):
     assert packing.pack(packing.token_pieces(table(spark, []), tokenizer)).collect() == []
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    pieces = clashing(table(spark, ["a b", "c"])).withColumn("length", F.lit(7)).withColumn(
+        "offset", F.lit("old"))
+    rows = packing.pack(pieces, capacity=20).collect()
+    assert {r._key for r in rows} == {"extra"} and sorted(r.offset for r in rows) == [0, 7]
+
+
 def test_sum_of_squares_choice_is_the_smallest():
     rng = random.Random(3)
     sizes = [rng.randrange(1, 31) for _ in range(200)]
