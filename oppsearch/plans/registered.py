@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from oppsearch import fixed_values as V, schemas as S
 from oppsearch.functions import cards, clean, profile as P, routing as R, text as X
 from oppsearch.functions.chunking import boundary_chunks, fixed_chunks
-from oppsearch.operators import context as C, evaluate as E, index as I, load as L, turns as T
+from oppsearch.operators import (
+    context as C, evaluate as E, index as I, load as L, question_cards as Q, turns as T)
 from oppsearch.operators.lexical import lexical_search, search_pages
 from oppsearch.operators.search import has_all, in_domain, program_search, within_budget
 from oppsearch.operators.structured import structured_hits
@@ -972,6 +973,71 @@ def structured_for_questions(spark, sf):
     return _structured(spark, sf).select("question_id", "rank", "id", "upcoming")
 
 
+ALL_FILTERS_SQL = cte("programs", "finances") + """,
+wanted AS (SELECT item_id AS question_id,
+   CASE WHEN item_id % 4 = 0 THEN 'BUILDING' WHEN item_id % 4 = 1 THEN 'MACHINERY' END AS category,
+   CASE WHEN item_id % 5 = 0 THEN '%GRAM 1%' WHEN item_id % 5 = 1 THEN 'program _' END AS program_like,
+   CASE WHEN item_id % 7 = 0 THEN '%#0000000%' END AS university_like,
+   CASE WHEN item_id % 3 = 0 THEN item_id % 2 = 0 END AS scholarship,
+   CASE WHEN item_id % 2 = 0 THEN 'deadline_non_ir' END AS deadline,
+   CASE WHEN item_id % 3 = 1 THEN DATE '1995-06-01' END AS deadline_from,
+   CASE WHEN item_id % 6 = 1 THEN DATE '1996-06-01' END AS deadline_to,
+   CASE item_id % 11 WHEN 0 THEN 'fee_eu' WHEN 1 THEN 'fee_non_eu' WHEN 2 THEN 'latest_deadline' END AS sort
+   FROM benchmark),
+pairs AS (SELECT w.question_id, w.sort, j.*, CASE WHEN w.deadline IS NULL THEN deadline_ir
+        ELSE deadline_non_ir END AS day
+   FROM wanted w JOIN (SELECT * FROM programs LEFT JOIN finances ON university_id = id) j
+     ON (w.category IS NULL OR w.category = field_category)
+     AND (w.program_like IS NULL OR program_name ILIKE w.program_like)
+     AND (w.university_like IS NULL OR university_name ILIKE w.university_like)
+     AND (w.scholarship IS NULL OR scholarship_available = w.scholarship)
+     AND (w.deadline_from IS NULL OR CASE WHEN w.deadline IS NULL THEN deadline_ir
+          ELSE deadline_non_ir END >= w.deadline_from)
+     AND (w.deadline_to IS NULL OR CASE WHEN w.deadline IS NULL THEN deadline_ir
+          ELSE deadline_non_ir END <= w.deadline_to))
+"""
+
+
+def _all_filters(spark, sf) -> DataFrame:
+    i = c("item_id")
+    return table(spark, sf, "benchmark").select(
+        i.alias("question_id"),
+        F.when(i % 4 == 0, "BUILDING").when(i % 4 == 1, "MACHINERY").alias("category"),
+        F.when(i % 5 == 0, "%GRAM 1%").when(i % 5 == 1, "program _").alias("program_like"),
+        F.when(i % 7 == 0, "%#0000000%").alias("university_like"),
+        F.when(i % 3 == 0, i % 2 == 0).alias("scholarship"),
+        F.when(i % 2 == 0, "deadline_non_ir").alias("deadline"),
+        F.when(i % 3 == 1, F.lit(dt.date(1995, 6, 1))).alias("deadline_from"),
+        F.when(i % 6 == 1, F.lit(dt.date(1996, 6, 1))).alias("deadline_to"),
+        F.when(i % 11 == 0, "fee_eu").when(i % 11 == 1, "fee_non_eu")
+        .when(i % 11 == 2, "latest_deadline").alias("sort"))
+
+
+@query(ALL_FILTERS_SQL + """
+SELECT * FROM (SELECT question_id, id, coalesce(day >= DATE '1998-01-01', false) AS upcoming,
+  CAST(row_number() OVER (PARTITION BY question_id ORDER BY
+    CASE sort WHEN 'fee_eu' THEN tuition_fee_eu_per_year WHEN 'fee_non_eu'
+        THEN tuition_fee_non_eu_per_year WHEN 'latest_deadline' THEN -(day - DATE '1970-01-01')
+        ELSE CASE WHEN day >= DATE '1998-01-01' THEN 0 ELSE 1 END END NULLS LAST,
+    CASE WHEN sort = 'latest_deadline' THEN NULL ELSE day END NULLS LAST, id) AS INT) AS rank FROM pairs)
+WHERE rank <= 20""")
+def structured_all_filters(spark, sf):
+    """Every kind of filter and order over many questions."""
+    found = structured_hits(_all_filters(spark, sf), view(spark, sf, "programs"),
+                            typed_finances(spark, sf), AS_OF)
+    return found.select("question_id", "rank", "id", "upcoming")
+
+
+@query(ALL_FILTERS_SQL + "SELECT question_id, id, tuition_fee_eu_per_year AS fee_eu FROM pairs "
+       "WHERE question_id % 5 = 1 OR question_id % 7 = 0")
+def structured_all_results(spark, sf):
+    """Questions that ask for all results instead of the best."""
+    i = c("question_id")
+    found = structured_hits(_all_filters(spark, sf).filter((i % 5 == 1) | (i % 7 == 0)),
+                            view(spark, sf, "programs"), typed_finances(spark, sf), AS_OF, limit=None)
+    return found.select("question_id", "id", c("tuition_fee_eu_per_year").alias("fee_eu"))
+
+
 @query(FILTERS_SQL + """
 SELECT question_id, bool_and(coalesce(deadline_ir < DATE '1998-01-01', false)) AS all_passed
 FROM top GROUP BY question_id""")
@@ -1002,8 +1068,7 @@ def result_cards(spark, sf):
         c("tuition_fee_non_eu_per_year"), none, none, F.get(c("urls"), F.lit(0))).alias("card"))
 
 
-@query(cte("position_docs") + """
-SELECT doc_id, '### ' || coalesce(title, '') || chr(10) || '- **Type**: ' || position_type
+POSITION_CARD_SQL = """'### ' || coalesce(title, '') || chr(10) || '- **Type**: ' || position_type
   || chr(10) || '- **Supervisor**: ' || professor_name || chr(10) || '- **University**: '
   || concat_ws(', ', nullif(university, ''), nullif(city, ''), nullif(country, ''))
   || coalesce(chr(10) || '- **Research Area**: ' || nullif(array_to_string(research_areas, ', '), ''), '')
@@ -1011,7 +1076,11 @@ SELECT doc_id, '### ' || coalesce(title, '') || chr(10) || '- **Type**: ' || pos
   || chr(10) || '- **Deadline**: ' || coalesce(nullif(deadline, ''), 'Open / Rolling')
   || coalesce(chr(10) || '- **Contact**: ' || nullif(email, ''), '')
   || coalesce(chr(10) || '- **More info**: ' || nullif(url, ''), '')
-  || coalesce(chr(10) || '- **About**: ' || nullif(description, ''), '') AS card
+  || coalesce(chr(10) || '- **About**: ' || nullif(description, ''), '')"""
+
+
+@query(cte("position_docs") + f"""
+SELECT doc_id, {POSITION_CARD_SQL} AS card
 FROM position_docs""")
 def position_cards(spark, sf):
     return view(spark, sf, "position_docs").select("doc_id", cards.position_card(
@@ -1031,6 +1100,48 @@ def description_cards(spark, sf):
         X.trimmed(c("sections.admission.content")), c("official_url")).alias("card"))
 
 
+def _near(spark, sf, docs: DataFrame, kept) -> DataFrame:
+    """Three hits of each question: the documents with its number and the two after it."""
+    asked = table(spark, sf, "benchmark").filter(kept).select(
+        c("item_id").alias("question_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
+    return asked.select("question_id", (c("n") + 1).alias("rank"),
+                        (c("question_id") + c("n")).alias("doc_id")).join(docs, "doc_id")
+
+
+@query(FILTERS_SQL.replace("WITH programs", "WITH " + cte("position_docs", "program_docs")
+                           .removeprefix("WITH ") + ",\nprograms") + f""",
+near AS (SELECT item_id AS question_id, n + 1 AS rank, item_id + n AS doc_id
+         FROM benchmark, unnest([0, 1, 2]) AS t(n)),
+shown AS (
+  SELECT question_id, 0 AS layout, coalesce(TRY_CAST(deadline AS DATE) < DATE '2025-02-01', false) AS passed,
+         rank, {POSITION_CARD_SQL} AS card FROM near JOIN position_docs USING (doc_id) WHERE question_id % 3 = 0
+  UNION ALL
+  SELECT question_id, 1, coalesce(deadline_ir < DATE '1998-01-01', false), rank, {CARD_SQL} FROM top
+  WHERE question_id % 5 <> 1
+  UNION ALL
+  SELECT question_id, 2, false, rank, concat_ws(chr(10), '### ' || coalesce(university_name, ''),
+         '- **About**: ' || nullif(description, ''), '- **More info**: ' || nullif(coalesce(official_url, ''), ''))
+  FROM near JOIN program_docs USING (doc_id) WHERE question_id % 2 = 1),
+chosen AS (SELECT question_id, min(layout) AS layout FROM shown GROUP BY 1)
+SELECT question_id, ['position', 'program', 'description'][layout + 1] AS layout,
+       CAST(count(*) AS INT) AS n_cards, bool_and(passed) AS all_passed,
+       CASE WHEN layout = 1 AND bool_and(passed) THEN {_quoted(V.ALL_PASSED_TEXT)} || chr(10) || chr(10) ELSE '' END
+       || string_agg(card, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY passed, rank) AS cards
+FROM shown JOIN chosen USING (question_id, layout) GROUP BY question_id, layout""")
+def question_cards(spark, sf):
+    """Positions for a third of the questions, structured hits for most, descriptions for half."""
+    i = c("item_id")
+    positions = _near(spark, sf, view(spark, sf, "position_docs"), i % 3 == 0).withColumn(
+        "research_areas", X.join_list(c("research_areas")))
+    described = _near(spark, sf, view(spark, sf, "program_docs"), i % 2 == 1).select(
+        "question_id", "rank", F.coalesce("university_name", F.lit("")).alias("university_name"),
+        "description", c("official_url").alias("url"))
+    return Q.question_cards(
+        Q.position_rows(positions, F.lit(dt.date(2025, 2, 1))),
+        Q.program_rows(_structured(spark, sf).filter("question_id % 5 <> 1"), F.lit(AS_OF)),
+        Q.description_rows(described))
+
+
 @query(cte("programs", "finances") + """
 SELECT id, CAST(to_json({'id': id, 'program_name': program_name, 'funding_type': funding_type,
        'tuition_fee_eu_per_year': tuition_fee_eu_per_year,
