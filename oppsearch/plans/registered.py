@@ -473,6 +473,14 @@ STORED_TEXT_SQL = PROGRAM_TEXT_CTE.replace(
     "AS official_url")
 
 
+def _stored_chunks() -> list:
+    """What a record's stored chunks say: whether it has several, and the text of a single one.
+    Both need every chunk to be there, once."""
+    return [(F.count("*") > 1).alias("is_long"),
+            F.when((F.count("*") == 1) & (F.max("n_chunks") == 1), F.md5(F.max("description")))
+            .alias("text_md5")]
+
+
 def _index_twice(spark, sf, kind: str) -> DataFrame:
     """Index a part of the records, then all of them; the second run must add only the rest."""
     folder = scratch_dir(spark, f"{kind}-vectors")
@@ -488,12 +496,13 @@ def _index_twice(spark, sf, kind: str) -> DataFrame:
 
 
 @query(STORED_TEXT_SQL + """
-SELECT official_url AS url, name AS university_name, length(text) > 4000 AS is_long
+SELECT official_url AS url, name AS university_name, length(text) > 4000 AS is_long,
+       CASE WHEN length(text) <= 4000 THEN md5(text) END AS text_md5
 FROM composed WHERE _source IS NULL OR _source <> 'scraped_universities'""")
 def index_programs(spark, sf):
     """One row per indexed record after two runs over the same records."""
     return _index_twice(spark, sf, "programs").groupBy("record_key", "url", "university_name").agg(
-        (F.count("*") > 1).alias("is_long")).drop("record_key")
+        *_stored_chunks()).drop("record_key")
 
 
 @query(cte("position_docs") + f""",
@@ -501,12 +510,12 @@ k AS (SELECT p.doc_id, coalesce(university, '') || '|' || coalesce(title, '') ||
              || coalesce(professor_name, '') AS record_key, l.doc_id IS NULL AS later, p.url
       FROM position_docs p LEFT JOIN labels l ON l.doc_id = p.doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY record_key ORDER BY later, doc_id) AS n FROM k)
-SELECT record_key, url, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 4000 AS is_long
-FROM r JOIN ({POSITION_TEXT_SQL}) t ON t.doc_id = r.doc_id WHERE n = 1""")
+SELECT record_key, url, length(body) > 4000 AS is_long,
+       CASE WHEN length(body) <= 4000 THEN md5(body) END AS text_md5
+FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM r JOIN ({POSITION_TEXT_SQL}) t ON t.doc_id = r.doc_id WHERE n = 1)""")
 def index_positions(spark, sf):
     """Records that share a key: the first one indexed stays."""
-    return _index_twice(spark, sf, "positions").groupBy("record_key", "url").agg(
-        (F.count("*") > 1).alias("is_long"))
+    return _index_twice(spark, sf, "positions").groupBy("record_key", "url").agg(*_stored_chunks())
 
 
 # ---------------------------------------------------------------- vectors

@@ -28,11 +28,11 @@ POSITION_DOCS = (
     "funding STRING, deadline STRING, email STRING, url STRING, research_areas ARRAY<STRING>"
 )
 PROGRAM_VECTORS = (
-    "id BIGINT, record_key STRING, chunk_idx INT, university_name STRING, url STRING, "
+    "id BIGINT, record_key STRING, chunk_idx INT, n_chunks INT, university_name STRING, url STRING, "
     "description STRING, embedding ARRAY<FLOAT>"
 )
 POSITION_VECTORS = (
-    "id BIGINT, record_key STRING, chunk_idx INT, professor_name STRING, university STRING, "
+    "id BIGINT, record_key STRING, chunk_idx INT, n_chunks INT, professor_name STRING, university STRING, "
     "position_type STRING, title STRING, country STRING, city STRING, deadline STRING, "
     "email STRING, url STRING, funding STRING, description STRING, embedding ARRAY<FLOAT>"
 )
