@@ -15,7 +15,7 @@ from oppsearch.operators import context as C
 from oppsearch.operators.index import Embed
 from oppsearch.operators.lexical import search_pages
 from oppsearch.operators.structured import structured_hits
-from oppsearch.operators.turns import BLOCK_BITS, gate, largest, resolve_turns
+from oppsearch.operators.turns import BLOCK_BITS, gate, lengths, resolve_turns
 from oppsearch.operators.vectors import vector_search
 from oppsearch.session import written
 
@@ -43,17 +43,18 @@ def prepare_turns(turns: DataFrame, dictionary: DataFrame, name: str,
                   route: Router = R.with_text_route) -> DataFrame:
     """Add each turn's own profile finds and route."""
     routed = route(turns, "question")
-    return extract_profiles(routed, ["thread", "turn"], "question", dictionary, name)
+    return extract_profiles(routed, "question", dictionary, name)
 
 
 def question_state(turns: DataFrame, dictionary: DataFrame, name: str,
                    route: Router = R.with_text_route) -> DataFrame:
     """State after each turn. Threads longer than one block are scanned twice, so what is extracted
     from the texts is written first."""
-    prepared, top = prepare_turns(turns, dictionary, name, route), largest(turns, "turn")
-    if top >= 1 << BLOCK_BITS:
+    prepared = prepare_turns(turns, dictionary, name, route)
+    shape = lengths(turns, ["thread"], "turn")
+    if shape.rows > 1 << BLOCK_BITS:
         prepared = written(prepared, "prepared-turns")
-    return resolve_turns(prepared, top=top)
+    return resolve_turns(prepared, shape=shape)
 
 
 def vector_hits(asked: DataFrame, stored: DataFrame, columns: list[str],
@@ -124,7 +125,9 @@ def answer_questions(turns: DataFrame, dictionary: DataFrame, name: str, sources
                      route: Router = R.with_text_route) -> DataFrame:
     """One row per turn: choice, question to ask back, and the retrieved context with its counts."""
     state = question_state(accept_questions(turns), dictionary, name, route)
-    state = written(state.withColumn("question_id", F.concat_ws("/", "thread", "turn")), "state")
+    # a number of its own for every request: thread and turn may be repeated
+    state = written(state.withColumn(
+        "question_id", F.monotonically_increasing_id().cast("string")), "state")
     c = F.col
     return with_contexts(state, retrieve(state, sources)).select(
         "thread", "turn", "choice", "ask", "enriched_query", "context", *COUNTS, "has_data",

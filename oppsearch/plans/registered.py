@@ -865,7 +865,7 @@ def _state(spark, sf) -> DataFrame:
 @query(STATE_SQL + """SELECT thread, turn, degree_level, field, specialization, current_education
 FROM prof""")
 def profile_extract(spark, sf):
-    return P.extract_profiles(view(spark, sf, "turns"), ["thread", "turn"], "question",
+    return P.extract_profiles(view(spark, sf, "turns"), "question",
                               view(spark, sf, "fields"), "name").select(
         "thread", "turn", *S.PROFILE_FIELDS)
 

@@ -1,5 +1,6 @@
 """Routing table, gate, and the batch state against a sequential fold."""
 
+import hashlib
 import itertools
 import random
 
@@ -96,6 +97,28 @@ def test_batch_state_equals_the_fold(spark, block_bits):
     assert states(T.resolve_turns(turns, block_bits=block_bits)) == expected(rows)
 
 
+@pytest.mark.parametrize("block_bits, repeats", [(T.BLOCK_BITS, 1), (2, 1), (2, 10**6)])
+def test_repeated_turns_follow_their_text(spark, monkeypatch, block_bits, repeats):
+    monkeypatch.setattr(T, "REPEATS", repeats)
+    rows = [(r[0], r[1] % 3, *r[2:]) for r in random_turns(7, 10, 8)]
+    ranked = sorted(rows, key=lambda r: (r[0], r[1], hashlib.md5(r[2].encode()).hexdigest()))
+    want = expected([(r[0], i, *r[2:]) for i, r in enumerate(ranked)])
+    turns = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    state = T.resolve_turns(turns, block_bits=block_bits)
+    place = {r[2]: i for i, r in enumerate(ranked)}
+    numbered = state.withColumn("turn", F.create_map(
+        *[F.lit(x) for pair in place.items() for x in pair])[F.col("question")])
+    assert states(numbered) == want
+
+
+def test_repeated_turns_do_not_share_a_profile(spark):
+    messages = spark.createDataFrame([("1", 1, "robotics please"), ("1", 1, "hello")],
+                                     "thread string, turn int, t string")
+    names = spark.createDataFrame([("Robotics",)], "name string")
+    got = {r.t: r.field for r in P.extract_profiles(messages, "t", names, "name").collect()}
+    assert got == {"robotics please": "Robotics", "hello": None}
+
+
 def test_stream_state_equals_the_fold(spark, tmp_path):
     rows = random_turns(6, 12, 6)
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
@@ -136,7 +159,7 @@ def test_profile_patterns(spark):
     messages = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
     names = spark.createDataFrame([("Robotics",), ("Physics",), ("Deep Learning",), ("Learning",)],
                                   "name string")
-    got = {r.i: r for r in P.extract_profiles(messages, ["i"], "t", names, "name").collect()}
+    got = {r.i: r for r in P.extract_profiles(messages, "t", names, "name").collect()}
     for i, (_, want) in enumerate(cases):
         r = got[i]
         assert (r.degree_level, r.specialization, r.current_education) == want, cases[i]
