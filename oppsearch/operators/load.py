@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from oppsearch import schemas as S
 from oppsearch.functions import clean as C
+from oppsearch.sources.tables import append_table, create_table, read_table
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -66,9 +68,10 @@ def surrogate_ids(new: DataFrame, key: str, existing: DataFrame, id_col: str) ->
             .select((top.scalar() + F.col("_off") + F.col("_in")).alias(id_col), *new.columns))
 
 
-def clean_programs(raw: DataFrame, strict: bool = False) -> DataFrame:
+def clean_programs(raw: DataFrame, strict: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     c = F.col
     return raw.select(
+        *carry,
         C.clean_int(c("id"), strict).alias("id"),
         *[C.clean_str(c(n)).alias(n) for n in ("program_name", "university_name", "field_category")],
         C.clean_date(c("deadline_ir"), strict).alias("deadline_ir"),
@@ -76,19 +79,21 @@ def clean_programs(raw: DataFrame, strict: bool = False) -> DataFrame:
         C.clean_str(c("funding_type")).alias("funding_type"))
 
 
-def clean_finances(raw: DataFrame, strict: bool = False) -> DataFrame:
+def clean_finances(raw: DataFrame, strict: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     c = F.col
     return raw.select(
+        *carry,
         *[C.clean_int(c(n), strict).alias(n) for n in (
             "university_id", "tuition_fee_eu_per_year", "tuition_fee_non_eu_per_year")],
         C.clean_bool(c("scholarship_available")).alias("scholarship_available"),
         *[C.json_string_array(c(n)).alias(n) for n in ("funding_category", "urls")])
 
 
-def load_split(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+def load_split(raw: DataFrame, kind: str, carry: tuple[str, ...] = ()
+               ) -> tuple[DataFrame, DataFrame]:
     """Lenient load: ``(clean, rejects)``. A raw row is rejected when a required cell is blank or
     a number or date cell holds text that does not parse; the reject keeps the raw cells and names
-    the columns at fault."""
+    the columns at fault. ``carry``: columns that go with the clean rows as they are."""
     required, ints, dates = {
         "programs": (["id", "program_name", "university_name"], ["id"],
                      ["deadline_ir", "deadline_non_ir"]),
@@ -96,8 +101,9 @@ def load_split(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
                      ["university_id", "tuition_fee_eu_per_year", "tuition_fee_non_eu_per_year"],
                      []),
     }[kind]
-    both = raw.select(F.struct("*").alias("raw"), *[F.col(n).alias(f"_{n}") for n in raw.columns])
-    both = both.select("raw", *[C.clean_str(F.col(f"_{n}")).alias(n) for n in raw.columns])
+    cells = [n for n in raw.columns if n not in carry]
+    both = raw.select(F.struct(*cells).alias("raw"), *carry,
+                      *[C.clean_str(F.col(n)).alias(n) for n in cells])
     c = F.col
     bad = F.concat_ws(
         ",",
@@ -105,6 +111,32 @@ def load_split(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
         *[F.when(c(n).isNotNull() & c(n).try_cast("int").isNull(), n) for n in ints],
         *[F.when((F.upper(n) != "NULL") & c(n).try_cast("date").isNull(), n) for n in dates])
     checked = both.withColumn("bad_columns", bad)
-    good = checked.filter(c("bad_columns") == "").select(raw.columns)
+    good = checked.filter(c("bad_columns") == "").select(*carry, *cells)
     rejects = checked.filter(c("bad_columns") != "").select("raw.*", "bad_columns")
-    return (clean_programs if kind == "programs" else clean_finances)(good), rejects
+    clean = clean_programs if kind == "programs" else clean_finances
+    return clean(good, carry=carry), rejects
+
+
+def file_place() -> Column:
+    """Where a row of a file scan stands: file, part of the file, row."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start",
+                    F.monotonically_increasing_id().alias("row"))
+
+
+def load_table(raw: DataFrame, kind: str, folder: str, parent: DataFrame | None = None) -> None:
+    """Insert the rows of a file scan whose key is not stored yet into ``folder``/rows, of rows
+    with one key the first in file order, and write the scan's rejected rows to ``folder``/rejects.
+
+    ``parent``: the programs that finance rows must name; a missing one is an error before anything
+    is written.
+    """
+    spark = raw.sparkSession
+    schema, key = {"programs": (S.PROGRAMS, "id"), "finances": (S.FINANCES, "university_id")}[kind]
+    create_table(spark, f"{folder}/rows", schema)
+    good, rejects = load_split(raw.withColumn("_place", file_place()), kind, ("_place",))
+    present = read_table(spark, f"{folder}/rows", schema)
+    new = insert_if_absent(good, present, [key], ["_place"]).drop("_place")
+    if parent is not None:
+        require_fk(new, parent, key, "id")
+    rejects.write.mode("overwrite").parquet(f"{folder}/rejects")
+    append_table(new, f"{folder}/rows", schema)

@@ -268,13 +268,44 @@ def csv_load_programs(spark, sf):
     folder = scratch_dir(spark, "programs-csv")
     _csv_cells(view(spark, sf, "programs"), ["program_name"]).write.csv(
         folder, header=True, quote='"', escape='"', quoteAll=True)
-    good, _ = L.load_split(files.read_programs(spark, folder), "programs")
     stored = scratch_dir(spark, "programs-table")
-    tables.create_table(spark, stored, S.PROGRAMS)
-    present = tables.read_table(spark, stored, S.PROGRAMS)
-    tables.append_table(L.insert_if_absent(good, present, ["id"], ["program_name"]), stored,
-                        S.PROGRAMS)
-    return tables.read_table(spark, stored, S.PROGRAMS)
+    L.load_table(files.read_programs(spark, folder), "programs", stored)
+    return tables.read_table(spark, f"{stored}/rows", S.PROGRAMS)
+
+
+def _load_faulty(spark, sf) -> str:
+    """Two folders of program files, loaded as one: every other program is in both, under another
+    name in the later one; some names are blank and some dates no dates."""
+    folder, stored = scratch_dir(spark, "faulty-csv"), scratch_dir(spark, "faulty-table")
+    rows = view(spark, sf, "programs").withColumns({
+        "program_name": F.when(c("id") % 19 == 0, " ").otherwise(c("program_name")),
+        "deadline_ir": F.when(c("id") % 23 == 0, "soon").otherwise(c("deadline_ir").cast("string"))})
+    late = rows.filter("id % 2 = 0").withColumn("program_name", F.lit("later name"))
+    for name, part in (("1", rows), ("2", late)):
+        _csv_cells(part, []).write.csv(f"{folder}/{name}", header=True, quote='"', escape='"',
+                                       quoteAll=True)
+    for _ in range(2):  # the second load adds nothing
+        L.load_table(files.read_programs(spark, f"{folder}/*"), "programs", stored)
+    return stored
+
+
+@query(cte("programs") + """
+SELECT CAST(id AS INT) AS id, CASE WHEN id % 19 = 0 THEN 'later name' ELSE program_name END AS program_name
+FROM programs WHERE id % 23 <> 0 AND (id % 19 <> 0 OR id % 2 = 0)""")
+def csv_load_first_rows(spark, sf):
+    """The first good row of each key in file order."""
+    return tables.read_table(spark, f"{_load_faulty(spark, sf)}/rows", S.PROGRAMS).select(
+        "id", "program_name")
+
+
+@query(cte("programs") + """,
+bad AS (SELECT id, id % 19 = 0 AS unnamed FROM programs WHERE id % 19 = 0 OR id % 23 = 0
+        UNION ALL SELECT id, false FROM programs WHERE id % 2 = 0 AND id % 23 = 0)
+SELECT CAST(id AS INT) AS id, concat_ws(',', CASE WHEN unnamed THEN 'program_name' END,
+       CASE WHEN id % 23 = 0 THEN 'deadline_ir' END) AS bad_columns FROM bad""")
+def csv_load_rejects(spark, sf):
+    rejects = spark.read.parquet(f"{_load_faulty(spark, sf)}/rejects")
+    return rejects.select(clean.clean_int(c("id")).alias("id"), "bad_columns")
 
 
 @query(cte("finances") + """
@@ -287,10 +318,10 @@ def csv_load_finances(spark, sf):
     folder = scratch_dir(spark, "finances-csv")
     _csv_cells(view(spark, sf, "finances"), []).write.csv(
         folder, header=True, quote='"', escape='"', quoteAll=True)
-    good, _ = L.load_split(files.read_finances(spark, folder), "finances")
     stored = scratch_dir(spark, "finances-table")
-    tables.append_table(good, stored, S.FINANCES)
-    return tables.read_table(spark, stored, S.FINANCES).withColumns(
+    L.load_table(files.read_finances(spark, folder), "finances", stored,
+                 parent=view(spark, sf, "programs"))
+    return tables.read_table(spark, f"{stored}/rows", S.FINANCES).withColumns(
         {n: F.array_join(n, ";") for n in ("funding_category", "urls")})
 
 
