@@ -8,13 +8,17 @@ a card stays a valid card and a date a date, and equal values stay equal in ever
 | kind | format | permuted |
 | --- | --- | --- |
 | email | local@domain | each letter and digit of the local part within its class |
-| card | 13 to 19 digits, Luhn sum right | all but the first digit; the last is the check digit |
+| card | 13 to 19 digits, Luhn sum right, in one group or several | all but the first digit; the last is the check digit |
 | phone | 10 digits in groups of 3, 3 and 4, with or without +1 | all ten digits |
 | ssn | 123-45-6789 with valid area, group and serial | all three |
 | ip | four octets up to 255 | all 32 bits |
 | date | 2024-05-17, 17.05.2024 or 17/05/2024, 1800 to 2199 | the day among these 400 years |
 | credential | AKIA keys; long hexadecimal values of password, token, secret, key | each letter and digit within its class |
 
+Cards are looked for after the other kinds, in runs of digit groups with one blank or hyphen between
+them. From each group on, the first group alone or else the longest row of whole groups with a right
+Luhn sum is a card, and the search goes on behind it; expiry, CVV or a count beside a card stay.
+
 What fails its check stays as it is. A null text stays null, an empty one empty; repeated rows are
 treated alike; texts of any length are rewritten whole. Only the text column changes. An empty
 table gives no rows.
@@ -28,15 +32,18 @@ ROUNDS = 8
 FIRST_DAY, CYCLE_DAYS = "1800-01-01", 146_097  # 400 Gregorian years: 189 * 773 days
 
 EMAIL = r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"
-CARD = r"(?<![\w.+-])[3-6](?:[ -]?[0-9]){12,18}(?![\w-])"
+RUN = r"(?<!\w)[0-9]++(?:[ -][0-9]++)*+\w*+"  # possessive: no recursion over long runs
+GROUP = r"(?<!\w)(?=((?<![.+])[3-6](?:[ -]?[0-9]){12,18}(?!\w))?)([0-9]++\w*+[ -]?)"
 PHONE = r"(?<![\w+])\+?1?[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[.-][0-9]{4}(?![\w-])"
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
 IP = r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])"
 DATE = r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-])"
 CREDENTIAL = (r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)"
               r"|(?<=(?:password|token|secret|key)(?: ?= ?\"?)|(?:password|token|secret|key): )"
-              r"[0-9A-Fa-f]{16,64}(?!\w)")
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, CREDENTIAL, DATE, IP, SSN, PHONE, CARD))
+              r"(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{16,64}(?!\w)")
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, CREDENTIAL, DATE, IP, SSN, PHONE))
+LONG = r"[0-9](?:[ -]?[0-9]){12}"
+STEP = 64  # groups of a run put together at a time
 
 
 def keyed(secret: str, *parts: Column) -> Column:
@@ -45,20 +52,23 @@ def keyed(secret: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-def _rounds(start: Column, a: int, b: int, kind: str, secret: str) -> Column:
+def _rounds(start: Column, a, b, kind: str, secret: str) -> Column:
+    a, b = F.lit(a), F.lit(b)
+    tag = F.concat_ws("|", F.lit(kind), a.cast("string"), b.cast("string"))
+
     def step(s: Column, r: Column) -> Column:
         left = r % 2 == 0
-        mask = keyed(secret, F.lit(f"{kind}|{a}|{b}"), r, F.when(left, s["y"]).otherwise(s["x"]))
+        mask = keyed(secret, tag, r, F.when(left, s["y"]).otherwise(s["x"]))
         return F.struct(
-            F.when(left, F.pmod(s["x"] + mask % a, F.lit(a))).otherwise(s["x"]).cast("long")
+            F.when(left, F.pmod(s["x"] + mask % a, a)).otherwise(s["x"]).cast("long")
             .alias("x"),
-            F.when(left, s["y"]).otherwise(F.pmod(s["y"] + mask % b, F.lit(b))).cast("long")
+            F.when(left, s["y"]).otherwise(F.pmod(s["y"] + mask % b, b)).cast("long")
             .alias("y"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
-def _permute(x: Column, y: Column, a: int, b: int, kind: str, secret: str) -> Column:
+def _permute(x: Column, y: Column, a, b, kind: str, secret: str) -> Column:
     """Struct (x, y) after the keyed permutation of Z_a * Z_b."""
     return _rounds(F.struct(x.try_cast("long").alias("x"), y.try_cast("long").alias("y")), a, b, kind,
                    secret)
@@ -93,27 +103,77 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.reverse(F.split(digits, "")), start, step, lambda s: s["sum"])
 
 
+def _ten_to(n: Column) -> Column:
+    return F.pow(F.lit(10), n).cast("long")
+
+
 def _number(x: Column, width) -> Column:
     return F.lpad(x.cast("string"), width, "0")
 
 
 def card(value: Column, secret: str) -> Column:
     digits = _digits(value)
+    n = F.length(digits)
+    left = F.floor((n - 2) / 2).cast("int")
+    right = n - 2 - left
+    new = _permute(F.substr(digits, F.lit(2), left), F.substr(digits, left + 2, right),
+                   _ten_to(left), _ten_to(right), "card", secret)
+    body = F.transform(F.array(new), lambda p: F.concat(
+        F.left(digits, F.lit(1)), _number(p["x"], left), _number(p["y"], right)))
+    full = F.transform(body, lambda t: F.concat(
+        t, F.pmod(10 - luhn_sum(F.concat(t, F.lit("0"))) % 10, F.lit(10)).cast("string")))
+    return F.transform(full, lambda d: _refill(value, d))[0]
+
+
+def _first_card(window: Column) -> Column:
+    """The card at the start of up to 19 digits in whole groups, or null."""
+    tries = [F.regexp_extract(window, r"^[0-9]{13,19}(?!\w)", 0)] + [
+        F.regexp_extract(window, rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?!\w)", 0)
+        for n in range(19, 12, -1)]
+    return F.get(F.filter(F.array(*tries), lambda t: (t != "") & (luhn_sum(_digits(t)) % 10 == 0)),
+                 F.lit(0))
+
+
+def run_of_groups(value: Column, secret: str) -> Column:
+    """A run of digit groups with each card in it replaced."""
+    groups = F.zip_with(
+        F.regexp_extract_all(value, F.lit(GROUP), F.lit(2)),
+        F.transform(F.regexp_extract_all(value, F.lit(GROUP), F.lit(1)),
+                    lambda w: F.when(w != "", _first_card(w))),
+        lambda own, found: F.struct(
+            own.alias("own"), F.coalesce(F.size(F.split(found, "[ -]")), F.lit(0)).alias("n"),
+            F.when(found.isNotNull(), card(found, secret)).alias("new")))
+
+    def one(s: Column, g: Column) -> Column:
+        begins = (s["covered"] == 0) & g["new"].isNotNull()
+        covered = F.when(begins, g["n"]).otherwise(s["covered"])
+        behind = F.regexp_extract(g["own"], "[ -]$", 0)
+        return F.struct(
+            F.concat(s["out"], F.when(begins, g["new"]).otherwise(""),
+                     F.when(covered == 0, g["own"]).when(covered == 1, behind).otherwise(""))
+            .alias("out"), F.greatest(covered - 1, F.lit(0)).alias("covered"))
+
+    def some(s: Column, rows: Column, k: Column) -> Column:
+        start = F.struct(F.lit("").alias("out"), s["covered"].alias("covered"))
+        return F.aggregate(F.slice(rows, k * STEP + 1, STEP), start, one, lambda e: F.struct(
+            F.concat(s["parts"], F.array(e["out"])).alias("parts"), e["covered"].alias("covered")))
+
+    def whole(rows: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("covered"))
+        steps = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / STEP).cast("int"))
+        return F.aggregate(steps, start, lambda s, k: some(s, rows, k),
+                           lambda s: F.array_join(s["parts"], ""))
+
+    return F.transform(F.array(groups), whole)[0]
 
-    def of_length(n: int) -> Column:
-        left, right = (n - 2) // 2, (n - 2) - (n - 2) // 2
-        new = _permute(F.substring(digits, 2, left), F.substring(digits, 2 + left, right),
-                       10 ** left, 10 ** right, "card", secret)
-        body = F.transform(F.array(new), lambda p: F.concat(
-            F.substring(digits, 1, 1), _number(p["x"], left), _number(p["y"], right)))
-        full = F.transform(body, lambda t: F.concat(
-            t, F.pmod(10 - luhn_sum(F.concat(t, F.lit("0"))) % 10, F.lit(10)).cast("string")))
-        return _refill(value, full[0])
 
-    out = F.when(luhn_sum(digits) % 10 != 0, value)
-    for n in range(13, 20):
-        out = out.when(F.length(digits) == n, of_length(n))
-    return out.otherwise(value)
+def cards(text: Column, secret: str) -> Column:
+    """A text without other personal data, with each card replaced."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda v: F.when(
+        v.rlike(LONG), run_of_groups(v, secret)).otherwise(v))
+    joined = F.array_join(F.zip_with(F.split(text, RUN, -1), runs, lambda p, v: F.concat(
+        p, F.coalesce(v, F.lit("")))), "")
+    return F.when(text.rlike(LONG), joined).otherwise(text)
 
 
 def phone(value: Column, secret: str) -> Column:
@@ -215,17 +275,17 @@ def pseudonym(value: Column, secret: str) -> Column:
             .when(value.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), ip(value, secret))
             .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), ssn(value, secret))
             .when(digits.isin(10, 11), phone(value, secret))
-            .otherwise(card(value, secret)))
+            .otherwise(value))
 
 
 def rewritten(text: Column, secret: str) -> Column:
     """The whole text with every validated match replaced by its pseudonym."""
     hits = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)),
                        lambda v: pseudonym(v, secret))
-    parts = F.split(text, ANY, -1)
+    parts = F.transform(F.split(text, ANY, -1), lambda p: cards(p, secret))
     joined = F.array_join(F.zip_with(parts, hits, lambda p, h: F.concat(
         p, F.coalesce(h, F.lit("")))), "")
-    return F.when(text.rlike(ANY), joined).otherwise(text)
+    return F.when(text.rlike(f"{ANY}|{LONG}"), joined).otherwise(text)
 
 
 def pseudonymise(docs: DataFrame, secret: str, *, text: str = "text") -> DataFrame:

@@ -178,6 +178,26 @@ def test_values_keep_their_format_and_their_links(spark):
     assert replaced(spark, texts, "another key") != got
 
 
+def test_cards_beside_other_numbers(spark):
+    solid, spaced = "4111111111111111", "4111 1111 1111 1111"
+    both = [(" 12/27", ""), (" 123 end", ""), (" 5 items", ""), ("-123", ""), ("", "5 "), ("", "12 "),
+            ("", "12345 "), (" 7 8 9", "2 3 "), (f" {solid}", ""), ("-x", "")]
+    texts = [before + card + after for after, before in both for card in (solid, spaced)]
+    for old, new in zip(texts, replaced(spark, texts)):
+        assert re.sub(r"\d", "9", old) == re.sub(r"\d", "9", new)
+        assert solid not in re.sub("[ -]", "", new) and "1111 1111" not in new
+    pseudonym = replaced(spark, [solid])[0]
+    assert luhn_ok(pseudonym) and replaced(spark, [f"{solid} 5 items", f"{solid} 123", f"{spaced} 1"]) == [
+        f"{pseudonym} 5 items", f"{pseudonym} 123",
+        " ".join(pseudonym[i:i + 4] for i in range(0, 16, 4)) + " 1"]
+
+
+def test_cards_in_a_long_run_of_numbers(spark):
+    card, row = "4111111111111111", " ".join(["70000000000000000000"] * 5000)
+    got = replaced(spark, [f"{row} {card} {row}", "7" * 100_000])
+    assert got[0] == f"{row} {replaced(spark, [card])[0]} {row}" and got[1] == "7" * 100_000
+
+
 def test_text_without_personal_data_stays(spark):
     texts = [None, "", "plain", "version 4.0. 3. 2.0.1", "1234567890123456 is no card", "a@b", "12/2024",
              "1.2.3.4.5", "x" * 50_000 + " 7"]
