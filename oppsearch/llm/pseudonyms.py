@@ -9,7 +9,8 @@ a card stays a valid card and a date a date, and equal values stay equal in ever
 | --- | --- | --- |
 | email | local@domain | each letter and digit of the local part within its class |
 | card | 13 to 19 digits, Luhn sum right, in one group or several | all but the first digit; the last is the check digit |
-| phone | 10 digits in groups of 3, 3 and 4, with or without +1 | all ten digits |
+| phone | 10 digits in groups of 3, 3 and 4 or in one, with or without +1 | all ten digits |
+| phone abroad | + and 7 to 15 digits, blanks, dots, hyphens, slashes and brackets between | all but the country code |
 | ssn | 123-45-6789 with valid area, group and serial | all three |
 | ip | four octets up to 255 | all 32 bits |
 | date | 2024-05-17, 17.05.2024 or 17/05/2024, 1800 to 2199 | the day among these 400 years |
@@ -19,6 +20,9 @@ Cards are looked for after the other kinds, in runs of digit groups with one bla
 them. From each group on, the first group alone or else the longest row of whole groups with a right
 Luhn sum is a card, and the search goes on behind it; expiry, CVV or a count beside a card stay.
 
+A phone number has no checksum: any ten digits of that shape count, and two or more digits one
+separator behind a number abroad count as part of it. National forms of other countries stay.
+
 What fails its check stays as it is. A null text stays null, an empty one empty; repeated rows are
 treated alike; texts of any length are rewritten whole. Only the text column changes. An empty
 table gives no rows.
@@ -34,14 +38,22 @@ FIRST_DAY, CYCLE_DAYS = "1800-01-01", 146_097  # 400 Gregorian years: 189 * 773
 EMAIL = r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"
 RUN = r"(?<!\w)[0-9]++(?:[ -][0-9]++)*+\w*+"  # possessive: no recursion over long runs
 GROUP = r"(?<!\w)(?=((?<![.+])[3-6](?:[ -]?[0-9]){12,18}(?!\w))?)([0-9]++\w*+[ -]?)"
-PHONE = r"(?<![\w+])\+?1?[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[.-][0-9]{4}(?![\w-])"
+NANP = r"(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![\w-])"
+ABROAD = (rf"(?<![\w+])\+(?!1[ .-]?{NANP})(?![0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}(?!\w))"
+          r"[1-9](?:[ ./-]?\(?[0-9]\)?){6,14}(?!\w)(?<![ ./-][0-9])")
+PHONE = (r"(?<![\w+])\+?1?[ .-]?(?:"
+         r"(?:\([0-9]{3}\)|[0-9]{3}[ .-])[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+         r"|(?<![0-9]{4}[ -])[0-9]{6}[.-][0-9]{4}"
+         r"|(?<![0-9][.,])(?<![0-9]{4}[ -])[0-9]{10}(?![.,][0-9]))(?![\w-])")
+#: Country codes of one and two digits; the others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
 IP = r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])"
 DATE = r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-])"
 CREDENTIAL = (r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)"
               r"|(?<=(?:password|token|secret|key)(?: ?= ?\"?)|(?:password|token|secret|key): )"
               r"(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{16,64}(?!\w)")
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, CREDENTIAL, DATE, IP, SSN, PHONE))
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, CREDENTIAL, DATE, IP, SSN, ABROAD, PHONE))
 LONG = r"[0-9](?:[ -]?[0-9]){12}"
 STEP = 64  # groups of a run put together at a time
 
@@ -186,6 +198,19 @@ def phone(value: Column, secret: str) -> Column:
     return _refill(value, text[0])
 
 
+def phone_abroad(value: Column, secret: str) -> Column:
+    digits = _digits(value)
+    code = F.regexp_extract(digits, COUNTRY, 0)
+    own = F.substr(digits, F.length(code) + 1, F.length(digits))
+    left = F.floor(F.length(own) / 2).cast("int")
+    right = F.length(own) - left
+    new = _permute(F.left(own, left), F.right(own, right), _ten_to(left), _ten_to(right), "abroad",
+                   secret)
+    text = F.transform(F.array(new), lambda p: F.concat(
+        code, _number(p["x"], left), _number(p["y"], right)))
+    return F.transform(text, lambda d: _refill(value, d))[0]
+
+
 def ssn(value: Column, secret: str) -> Column:
     digits = _digits(value)
     area, group = F.substring(digits, 1, 3).try_cast("long"), F.substring(digits, 4, 2).try_cast("long")
@@ -274,6 +299,8 @@ def pseudonym(value: Column, secret: str) -> Column:
                   date(value, secret))
             .when(value.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), ip(value, secret))
             .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), ssn(value, secret))
+            .when(value.startswith("+") & ~value.rlike(rf"^\+1[ .-]?{NANP}$"),
+                  phone_abroad(value, secret))
             .when(digits.isin(10, 11), phone(value, secret))
             .otherwise(value))
 

@@ -198,6 +198,27 @@ def test_cards_in_a_long_run_of_numbers(spark):
     assert got[0] == f"{row} {replaced(spark, [card])[0]} {row}" and got[1] == "7" * 100_000
 
 
+def test_phones_of_all_shapes(spark):
+    texts = ["555 123 4567", "(555) 123 4567", "5551234567", "+1 555 123 4567", "555-123-4567",
+             "+49 30 1234567", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+33 1 23 45 67 89",
+             "+34612345678", "+352 1234", "+49 (30) 123/4567", "+49301234567"]
+    got = replaced(spark, [f"tel. {t}, 5 times" for t in texts])
+    for old, new in zip(texts, got):
+        new = new.removeprefix("tel. ").removesuffix(", 5 times")
+        assert new != old and re.sub(r"\d", "9", old) == re.sub(r"\d", "9", new)
+    digits = [re.sub(r"\D", "", x.removesuffix(", 5 times")) for x in got]
+    assert len({x[-10:] for x in digits[:5]}) == 1 and digits[3].startswith("1")
+    for x, code in zip(digits[5:], ("49", "44", "44", "33", "34", "352", "49", "49")):
+        assert x.startswith(code)
+    assert digits[5] == digits[11] == digits[12]
+    stay = ["+12", "3.5551234567", "5551234567.5", "12345678901"[1:9]]
+    assert replaced(spark, stay) == stay
+    diners = with_check("3056930902590")
+    for form in (f"{diners[:4]} {diners[4:10]} {diners[10:]}", f"{diners[:4]}-{diners[4:10]}-{diners[10:]}"):
+        new = replaced(spark, [form])[0]
+        assert new != form and luhn_ok(re.sub(r"\D", "", new))
+
+
 def test_text_without_personal_data_stays(spark):
     texts = [None, "", "plain", "version 4.0. 3. 2.0.1", "1234567890123456 is no card", "a@b", "12/2024",
              "1.2.3.4.5", "x" * 50_000 + " 7"]
