@@ -37,7 +37,7 @@ FIRST_DAY, CYCLE_DAYS = "1800-01-01", 146_097  # 400 Gregorian years: 189 * 773
 
 EMAIL = r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"
 RUN = r"(?<!\w)[0-9]++(?:[ -][0-9]++)*+\w*+"  # possessive: no recursion over long runs
-GROUP = r"(?<!\w)(?=((?<![.+])[3-6](?:[ -]?[0-9]){12,18}(?!\w))?)([0-9]++\w*+[ -]?)"
+GROUP = r"(?<!\w)(?=([0-9](?:[ -]?[0-9]){12,18}(?!\w))?)([0-9]++\w*+[ -]?)"
 NANP = r"(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![\w-])"
 ABROAD = (rf"(?<![\w+])\+(?!1[ .-]?{NANP})(?![0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}(?!\w))"
           r"[1-9](?:[ ./-]?\(?[0-9]\)?){6,14}(?!\w)(?<![ ./-][0-9])")

@@ -219,6 +219,20 @@ def test_phones_of_all_shapes(spark):
         assert new != form and luhn_ok(re.sub(r"\D", "", new))
 
 
+def test_every_card_by_its_luhn_sum(spark):
+    cards = [with_check(f"{first}66910944894524") for first in range(10)] + ["2669109448945250"]
+    texts = [f"{before}{card} end" for card in cards for before in ("no ", "No.", "-", "+")]
+    for old, new in zip(texts, replaced(spark, texts)):
+        assert new != old and luhn_ok(re.sub(r"\D", "", new)) or old[0] == "+" and new != old
+        assert re.sub(r"\d", "9", old) == re.sub(r"\d", "9", new)
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter(
+        F.col("text").rlike("[0-9]{13}")).collect()]
+    valid = [[v for v in re.findall(r"(?<!\w)\d{13,19}(?!\w)", text) if luhn_ok(v)] for text in docs]
+    assert len([v for found in valid for v in found if v[0] not in "3456"]) > 5
+    for new, found in zip(replaced(spark, docs), valid):
+        assert not any(v in new for v in found)
+
+
 def test_text_without_personal_data_stays(spark):
     texts = [None, "", "plain", "version 4.0. 3. 2.0.1", "1234567890123456 is no card", "a@b", "12/2024",
              "1.2.3.4.5", "x" * 50_000 + " 7"]
