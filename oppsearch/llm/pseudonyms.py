@@ -13,7 +13,7 @@ a card stays a valid card and a date a date, and equal values stay equal in ever
 | phone abroad | + and 7 to 15 digits, blanks, dots, hyphens, slashes and brackets between | all but the country code |
 | ssn | 123-45-6789 with valid area, group and serial | all three |
 | ip | four octets up to 255 | all 32 bits |
-| date | 2024-05-17, 17.05.2024 or 17/05/2024, 1800 to 2199 | the day among these 400 years |
+| date | 2024-05-17 (also before a time), 17.05.2024, 17/05/2024 or else 05/17/2024, with or without leading zeros, 1800 to 2199 | the day among these 400 years |
 | credential | AKIA keys; long hexadecimal values of password, token, secret, key | each letter and digit within its class |
 
 Cards are looked for after the other kinds, in runs of digit groups with one blank or hyphen between
@@ -49,7 +49,11 @@ PHONE = (r"(?<![\w+])\+?1?[ .-]?(?:"
 COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
 IP = r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])"
-DATE = r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-])"
+DATE = (r"(?<![\w/.-])[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:(?![\w/-])|(?=T[0-9]))"
+        r"|(?<![\w/.])(?:[0-9]{1,2}\.[0-9]{1,2}\.|[0-9]{1,2}/[0-9]{1,2}/)[0-9]{4}(?![\w/])")
+#: Day first comes before month first; a date with a one-digit day or month is written without zeros.
+DATE_FORMS = ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy",
+              "yyyy-M-d", "d.M.yyyy", "d/M/yyyy", "M/d/yyyy")
 CREDENTIAL = (r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)"
               r"|(?<=(?:password|token|secret|key)(?: ?= ?\"?)|(?:password|token|secret|key): )"
               r"(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{16,64}(?!\w)")
@@ -238,20 +242,20 @@ def ip(value: Column, secret: str) -> Column:
 
 def date(value: Column, secret: str) -> Column:
     first = F.lit(FIRST_DAY).cast("date")
+    padded = value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}[./][0-9]{2}[./]")
+    read = F.array(*[F.when(padded == (len(form) == 10), F.struct(
+        F.date_diff(F.try_to_timestamp(value, F.lit(form)).cast("date"), first).alias("x"),
+        F.lit(i).alias("form"))) for i, form in enumerate(DATE_FORMS)])
+    found = F.filter(read, lambda r: r["x"].between(0, CYCLE_DAYS - 1))
 
-    def written_as(form: str):
-        return lambda p: F.date_format(
-            F.date_add(first, (p["x"] * 773 + p["y"]).cast("int")), form)
+    def written(r: Column) -> Column:
+        new = _permute(F.floor(r["x"] / 773), r["x"] % 773, 189, 773, "date", secret)
+        day = F.transform(F.array(new), lambda p: F.date_add(
+            first, (p["x"] * 773 + p["y"]).cast("int")))[0]
+        return F.transform(F.array(day), lambda d: F.get(F.array(*[
+            F.date_format(d, form) for form in DATE_FORMS]), r["form"]))[0]
 
-    out = F.lit(None).cast("string")
-    for form, pattern in (("yyyy-MM-dd", r"^\d{4}-"), ("dd.MM.yyyy", r"\."), ("dd/MM/yyyy", "/")):
-        day = F.try_to_timestamp(value, F.lit(form)).cast("date")
-        x = F.date_diff(day, first)
-        new = _permute(F.floor(x / 773), x % 773, 189, 773, "date", secret)
-        inside = x.between(0, CYCLE_DAYS - 1)
-        out = F.coalesce(out, F.when(value.rlike(pattern) & inside,
-                                     F.transform(F.array(new), written_as(form))[0]))
-    return F.coalesce(out, value)
+    return F.coalesce(F.get(F.transform(F.slice(found, 1, 1), written), F.lit(0)), value)
 
 
 def _by_class(value: Column, kind: str, secret: str, hexadecimal: bool = False) -> Column:
@@ -295,7 +299,8 @@ def pseudonym(value: Column, secret: str) -> Column:
             .when(value.rlike("^AKIA[0-9A-Z]{16}$"), aws)
             .when(value.rlike("^[0-9A-Fa-f]{16,64}$") & value.rlike("[A-Fa-f]"),
                   _by_class(value, "secret", secret, hexadecimal=True))
-            .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$|^\d{2}\.\d{2}\.\d{4}$|^\d{2}/\d{2}/\d{4}$"),
+            .when(value.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$|^\d{1,2}\.\d{1,2}\.\d{4}$"
+                              r"|^\d{1,2}/\d{1,2}/\d{4}$"),
                   date(value, secret))
             .when(value.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), ip(value, secret))
             .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), ssn(value, secret))

@@ -248,6 +248,22 @@ def test_feistel_is_a_permutation(spark, a, b):
     assert len(seen) == a * b and all(0 <= x < a and 0 <= y < b for x, y in seen)
 
 
+def test_dates_of_all_shapes(spark):
+    texts = ["2024-05-17T10:00:00Z", "2024-05-17", "05/17/2024", "17.5.2024", "17/5/2024", "5/17/2024",
+             "17.05.2024-18.05.2024", "2024-5-17", "5/7/2024", "7/5/2024"]
+    got = replaced(spark, [f"on {t} x" for t in texts])
+    day = dt.date.fromisoformat(got[0][3:13])
+    assert got[0] == f"on {day}T10:00:00Z x" and got[1] == f"on {day} x"
+    assert got[2] == f"on {day:%m/%d/%Y} x" and got[3] == f"on {day.day}.{day.month}.{day.year} x"
+    assert got[4] == f"on {day.day}/{day.month}/{day.year} x"
+    assert got[5] == f"on {day.month}/{day.day}/{day.year} x"
+    assert got[6].startswith(f"on {day:%d.%m.%Y}-") and "18.05.2024" not in got[6]
+    assert got[7] == f"on {day.year}-{day.month}-{day.day} x"
+    assert day != dt.date(2024, 5, 17) and got[8] != "on 5/7/2024 x" and got[8] != got[9]
+    stay = ["2024-02-30", "13/32/2024", "31.2.2024", "0/5/2024", "1.2.3.2024", "2024-05-17Tx", "1/2/3/2024"]
+    assert replaced(spark, stay) == stay
+
+
 def test_every_day_has_its_own_pseudonym(spark):
     days = spark.range(0, 3000).select(F.date_format(F.date_add(
         F.lit("1998-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
