@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from oppsearch.llm import (
-    decontaminate, language_id, packing, phrase_fingerprint, pseudonyms, sharding, simhash,
-    substring_dedup, token_counts, url_rules)
+    alignment, decontaminate, fill_in_middle, language_id, packing, phrase_fingerprint, pseudonyms,
+    quality_rules, sharding, simhash, substring_dedup, token_counts, url_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,3 +168,49 @@ FROM doc d LEFT JOIN by_doc USING (doc_id) LEFT JOIN kept USING (doc_id)""")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS x
+  FROM documents),
+u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l,
+         CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+         CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT doc_id, t, l, h4, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a,
+         greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b,
+         t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain FROM u),
+p AS (
+  SELECT doc_id, t, plain, h4, len(l) AS n, array_to_string(l[:a], '') AS pre,
+         array_to_string(l[a + 1:b], '') AS mid, array_to_string(l[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(pre) END AS prefix_chars,
+       CASE WHEN NOT plain THEN length(mid) END AS middle_chars,
+       sha256(CASE WHEN plain THEN t
+                   WHEN h4 % 100 < 50 THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
+                   ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p""")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query()
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"),
+                              tokenizer_path("byte_bpe_50k.json"),
+                              tokenizer_path("piece_bpe_32k.model"))
+    return alignment.score_links(aligned, alignment.pair_counts(aligned))
+
+
+@query()
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.filter_quality(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                         "n_repeat_words", "base_failed", "kept", "p_good")
