@@ -19,7 +19,8 @@ irregular groups, are counted as pairs and shuffled.
 
 Long texts are encoded in parts of about ``PART_CHARS``, cut before a space after a letter or digit,
 where neither the splitting pattern of A nor a vocabulary piece of B can reach across; a text without
-such a place is encoded whole.
+such a place is encoded whole. Parts are cut at all such places, and each distinct word so found is
+encoded once as long as a worker remembers it.
 
 Null and empty texts, and those whose tokens do not spell a space and the text (the mark U+2581
 inside, broken UTF-8), have no tokens: zeros and an empty digest. Repeated rows count as documents of
@@ -51,6 +52,9 @@ HOT_PAIRS = 1 << 18
 HELD_PAIRS = 1 << 21
 MARK = "▁"
 _CUT = re.compile(r"(?<=\w) ")
+_WORD_CUT = re.compile(r"(?<=\w) (?=\S)")
+#: Words whose ids a Python worker remembers, and the characters of one that it forgets at once.
+KNOWN_WORDS, LONG_WORD = 300_000, 64
 
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 LISTS = ["same", "same_n", "pair_a", "pair_b", "pair_n"]
@@ -95,6 +99,8 @@ class Tokenizers:
         #: For each id of A the id of B that has the same bytes, or -1.
         self.same = np.array([by_bytes.get(x, -1) if x else -1 for x in self.bytes_a], np.int64)
         self.size_a, self.size_b = size, len(pieces)
+        self.cuts_words = not any(p[1] == MARK and re.match(r"\w", p[0]) for p in self.joined)
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
         #: Each id as decimal digits and a mark: between ids, between sides, between groups.
@@ -115,16 +121,37 @@ class Tokenizers:
             start = found + 1
         yield text[start:]
 
-    def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """The ids of each part in both, None where they do not spell a space and the part."""
-        a = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
-        b = self.b.encode(parts, num_threads=1)
-        out = []
-        for p, x, y in zip(parts, a, b):
-            raw = b" " + p.encode()
+    def words(self, part: str) -> list[str]:
+        """The part, cut by the same rule wherever a letter or digit, a space and no other white
+        space follow one another."""
+        return _WORD_CUT.split(part) if self.cuts_words else [part]
+
+    def learn(self, words: list[str]) -> None:
+        a = self.a.encode_batch([" " + w for w in words], add_special_tokens=False)
+        for w, x, y in zip(words, a, self.b.encode(words, num_threads=1)):
+            raw, x = b" " + w.encode(), x.ids
             right = (b"".join(map(self.bytes_a.__getitem__, x)) == raw
                      and b"".join(map(self.bytes_b.__getitem__, y)) == raw)
-            out.append((x, y) if right else None)
+            self.known[w] = (np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()
+                             ) if right else None
+
+    def encode(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """The ids of each part in both, None where they do not spell a space and the part. Each
+        distinct word of a step is encoded once."""
+        split = [self.words(p) for p in parts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known.clear()
+            new = set().union(*split)
+        self.learn(list(new))
+        out = []
+        for words in split:
+            found = [self.known[w] for w in words]
+            out.append(None if None in found else tuple(
+                np.frombuffer(b"".join([f[side] for f in found]), "<i4") for side in (0, 1)))
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.known[w]
         return out
 
     def groups_text(self, a, b, last_a, last_b, group_a, group_b) -> list[bytes]:
@@ -166,13 +193,13 @@ def merged(x, y):
     return keys, total
 
 
-def align_parts(tok: Tokenizers, ids: list[tuple[list[int], list[int]]]):
+def align_parts(tok: Tokenizers, ids: list[tuple[np.ndarray, np.ndarray]]):
     """For each part: numbers, text of its groups, links along the identity map (A id, number) and
     other links (A id * size of B + B id, number)."""
     sizes_a = np.array([len(x) for x, _ in ids])
     sizes_b = np.array([len(y) for _, y in ids])
-    a = np.fromiter((i for x, _ in ids for i in x), np.int64, sizes_a.sum())
-    b = np.fromiter((i for _, y in ids for i in y), np.int64, sizes_b.sum())
+    a = np.concatenate([x for x, _ in ids]).astype(np.int64)
+    b = np.concatenate([y for _, y in ids]).astype(np.int64)
     end_a, end_b = np.cumsum(tok.length_a[a]), np.cumsum(tok.length_b[b])
     at_a = np.zeros(end_a[-1] + 1, bool)
     at_b = at_a.copy()
@@ -215,7 +242,7 @@ def aligned_texts(tok: Tokenizers, texts: list[str | None], part_chars: int):
         found = tok.encode([p for _, p in waiting])
         for (doc, _), x in zip(waiting, found):
             doc.bad |= x is None
-        good = [(doc, x) for (doc, _), x in zip(waiting, found) if x and not doc.bad]
+        good = [(doc, x) for (doc, _), x in zip(waiting, found) if x is not None and not doc.bad]
         if good:
             for (doc, _), result in zip(good, align_parts(tok, [x for _, x in good])):
                 doc.add(*result)
