@@ -229,3 +229,23 @@ def test_requests(spark):
                                "thread string, question string")
     assert sorted((r.thread, r.question) for r in accept_questions(df).collect()) == [
         ("1", "a"), ("y", "b")]
+
+
+LONG = [("I hold a BSc " + "word " * 200_000, None, "BS"),
+        ("I hold a BSc " + "word " * 200_000 + "at MIT", "BSc " + "word " * 200_000 + "at MIT", None),
+        ("bsc " * 250_000, None, "BS"), ("at home from " * 80_000 + "msc", None, "MS"),
+        ("master's " * 110_000 + "at home", "master's at home", "MS"),
+        ("fees " * 200_000 + "under 500", None, None), ("1 000 " * 170_000, None, None),
+        ("specializing in " * 65_000, None, None)]
+
+
+@pytest.mark.parametrize("text,education,degree", LONG, ids=[t[:12] for t, *_ in LONG])
+def test_messages_of_a_megabyte(spark, text, education, degree):
+    """What a pattern repeats, a million characters long: no stack is exhausted."""
+    df = spark.createDataFrame([(text,)], "t string")
+    row = df.select(P.current_education(F.col("t")).alias("e"),
+                    P.degree_level(P.without_education(F.col("t"))).alias("d"),
+                    P.specialization(F.col("t")).alias("s"),
+                    F.struct(*[c.alias(n) for n, c in P.question_filters(F.col("t")).items()])
+                    .alias("f")).first()
+    assert (row.e, row.d) == (education, degree)
