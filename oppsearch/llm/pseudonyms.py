@@ -35,7 +35,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 ROUNDS = 8
 FIRST_DAY, CYCLE_DAYS = "1800-01-01", 146_097  # 400 Gregorian years: 189 * 773 days
 
-EMAIL = r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"
+#: Java matches a repeated group by recursion, so every one is bounded or possessive: a name of the
+#: domain system has at most 127 labels, and only what is left of the @ is replaced.
+EMAIL = (r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.){1,126}[A-Za-z]{2,}"
+         r"(?![\w-])")
 RUN = r"(?<!\w)[0-9]++(?:[ -][0-9]++)*+\w*+"  # possessive: no recursion over long runs
 GROUP = r"(?<!\w)(?=([0-9](?:[ -]?[0-9]){12,18}(?!\w))?)([0-9]++\w*+[ -]?)"
 NANP = r"(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![\w-])"

@@ -323,3 +323,18 @@ def test_pipeline_stages(spark):
             break
         assert out.columns == docs.columns
         docs, before = spark.createDataFrame(rows, out.schema), rows
+
+
+MEGABYTE = [
+    "x@" + "a." * 500_000 + "1", "x@" + "ab." * 300_000 + "com", "a@" * 400_000, "1 " * 500_000,
+    "4111 1111 1111 1112 " * 50_000, "+49 30 1 2 3 4 5 6 7 8 9 " * 40_000, "1." * 500_000,
+    "555-12-" * 140_000, "+" * 1_000_000, "2024-05-" * 120_000, "key: " * 200_000 + "f" * 70,
+    "0" * 1_000_000, "(555) " * 160_000, "-".join(["12"] * 300_000)]
+
+
+def test_texts_of_a_megabyte(spark):
+    """What a pattern repeats, a million characters long: no stack is exhausted, nothing is lost."""
+    docs = table(spark, [t + " me@example.org" for t in MEGABYTE]).repartition(8)
+    for r in pseudonyms.pseudonymise(docs, "k").select("doc_id", "text").collect():
+        out, size = r.text, len(MEGABYTE[r.doc_id]) + 15
+        assert len(out) == size and out.endswith("@example.org") and "me@example.org" not in out
