@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from oppsearch import fixed_values as V
-from oppsearch.operators import blocks, lexical, vectors
+from oppsearch.operators import blocks, lexical, structured, vectors
 from oppsearch.operators.search import program_search
 from oppsearch.operators.structured import structured_hits
 from oppsearch.sources.tables import load_anchors
@@ -30,6 +30,7 @@ def tables(spark):
         if i % 5:
             fee = None if i % 6 == 0 else int(rng.integers(0, 9000))
             funding = [None, ["fully_funded"], ["tuition_free", "self_funded"]][i % 3]
+            funding = ["exchange", "erasmus", None] if i % 17 == 1 else funding
             finances.append((i, fee, fee, i % 4 == 0, funding, None))
     p = spark.createDataFrame(
         programs, "id long, program_name string, university_name string, field_category string, "
@@ -64,7 +65,10 @@ def test_many_questions_equal_single_searches(spark, tables, limit):
     p, f = tables
     asked = [(1, "CS", 4000, [], False), (2, "CS", 4000, [], False), (3, None, None, [], True),
              (4, "Law", None, ["fully_funded"], False), (5, "Math", None, [], False),
-             (6, None, 10, ["tuition_free", "self_funded"], True)]
+             (6, None, 10, ["tuition_free", "self_funded"], True),
+             (7, None, None, ["exchange"], False), (8, "CS", None, ["erasmus", "exchange"], False),
+             (9, None, None, ["exchange", "unheard of"], False), (10, None, None, ["exchange"], None),
+             (11, None, None, None, None), (12, None, 5000, None, False)]
     q = spark.createDataFrame(asked, "question_id int, category string, max_fee_eu int, "
                                      "funding_all_of array<string>, upcoming_only boolean")
     q = q.withColumn("max_fee_non_eu", F.when(F.col("question_id") == 5, 6000))
@@ -81,6 +85,25 @@ def test_many_questions_equal_single_searches(spark, tables, limit):
         assert got.get(i, []) == [r.id for r in single.collect()], i
 
 
+def test_structured_plan_is_an_equi_join(spark, tables):
+    """Filter sets meet programs on their key: no nested loop, and no Python."""
+    p, f = tables
+    q = spark.createDataFrame([(1, "CS", 4000), (2, None, 10)],
+                              "question_id int, category string, max_fee_eu int")
+    shown = []
+    keep = structured.written
+    structured.written = lambda df, name: shown.append(
+        df._jdf.queryExecution().executedPlan().toString()) or keep(df, name)
+    try:
+        structured_hits(q, p, f, AS_OF)
+        structured_hits(q.limit(0), p, f, AS_OF).collect()
+    finally:
+        structured.written = keep
+    plan = shown[1]
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+    assert "WindowGroupLimit" in plan and "InArrow" not in plan
+
+
 def brute_top(scores, ids, k):
     return sorted(zip(ids, scores), key=lambda x: (-x[1], x[0]))[:k]
 
