@@ -15,9 +15,10 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in declared.fields])
 
 
-def create_table(spark: SparkSession, path: str, schema: str) -> None:
-    """Create the table, empty, unless it is there."""
-    spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(path)
+def create_table(spark: SparkSession, path: str, content: str | DataFrame) -> None:
+    """Create the table, empty with the declared columns or with the given rows, unless it is there."""
+    rows = spark.createDataFrame([], content) if isinstance(content, str) else content
+    rows.coalesce(1).write.mode("ignore").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
