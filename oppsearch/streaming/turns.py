@@ -1,7 +1,15 @@
-"""Per-thread state across turns as a stream; equals the batch operator on the same turns."""
+"""Per-thread state across turns as a stream; equals the batch operator on the same turns, in
+whatever order and micro-batches they arrive.
+
+The turns of a thread are kept in its state under (turn, hash of the text, hash of the row), the
+order the batch operator takes them in. Turns that come after all stored ones are answered from the
+newest values alone. An earlier one changes the turns behind it: these are replayed and come out
+again with a higher ``revision``; ``latest_revisions`` keeps the last of each.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -37,28 +45,102 @@ def state_store_settings(spark: SparkSession, partitions: int | None = None):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+KEY = T.StructType([T.StructField("turn", T.LongType()), T.StructField("text", T.StringType()),
+                    T.StructField("row", T.StringType())])
+#: What tells the put-out rows apart: hash of the turn's row, number of equal rows before, revision.
+REVISED = ("row_key", "copy", "revision")
+#: Turns that are held at once while a thread is replayed.
+REPLAYED = 4096
+
+
 class CarryForward(StatefulProcessor):
-    """Gives each turn the newest values of the turns before it and keeps them for the next batch.
+    """Gives each turn the newest values of the turns before it.
 
-    Rows of a thread are sorted by turn before use; how many there can be is bounded by the bytes
-    the source puts into one micro-batch (``read_turn_stream``).
+    ``columns`` are the turn's own, among them ``CARRIED``; the stored row also says how often it
+    has come, because repeated rows are turns of their own.
     """
 
+    def __init__(self, fields: list[T.StructField], ttl_ms: int | None):
+        self.fields, self.ttl_ms = fields, ttl_ms
+        self.columns = [f.name for f in fields]
+        self.at = [self.columns.index(c) for c in CARRIED]
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "carried", T.StructType([T.StructField(c, T.StringType()) for c in CARRIED]))
+        copies = T.StructField("copies", T.LongType())
+        self.turns = handle.getMapState("turns", KEY, T.StructType([*self.fields, copies]),
+                                        self.ttl_ms)
+        newest = [T.StructField(f"last_{f.name}", f.dataType) for f in KEY.fields]
+        newest += [T.StructField(c, T.StringType()) for c in CARRIED]
+        newest.append(T.StructField("revision", T.LongType()))
+        self.newest = handle.getValueState("newest", T.StructType(newest), self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values
                         ) -> Iterator[pd.DataFrame]:
-        turns = pd.concat(rows, ignore_index=True).sort_values("turn", kind="stable")
-        held = self.state.get() if self.state.exists() else (None,) * len(CARRIED)
-        newest = turns[CARRIED].astype(object).where(turns[CARRIED].notna(), None)
-        known = pd.concat([pd.DataFrame([held], columns=CARRIED, dtype=object), newest],
-                          ignore_index=True).ffill()
-        known = known.astype(object).where(known.notna(), None)
-        self.state.update(tuple(known.iloc[-1]))
-        before = known.iloc[:-1].set_axis(turns.index)
-        yield pd.concat([turns, before.add_prefix("prev_")], axis=1)
+        held = self.newest.get() if self.newest.exists() else None
+        last = tuple(held[:3]) if held else None
+        revision = held[-1] + 1 if held else 0
+        carried = list(held[3:-1]) if held else [None] * len(CARRIED)
+        arriving, late = {}, None  # late: the first stored or passed place that has to be replayed
+        for frame in rows:
+            for place, row in self._places(frame):
+                if (last is None or place > last) and len(arriving) < REPLAYED:
+                    arriving[place] = (row, arriving.get(place, (row, 0))[1] + 1)
+                else:
+                    self._store(place, row, 1)
+                    late = min(late, place) if late else place
+        for place, (row, n) in arriving.items():
+            if late is None:
+                self.turns.updateValue(place, (*row, n))
+            else:
+                self._store(place, row, n)
+        if late is None:
+            order = sorted(arriving)
+            found = ((place, *arriving[place]) for place in order)
+        else:
+            late, before = min([late, *arriving]), [(None, None)] * len(CARRIED)
+            order = []
+            for place, row in self.turns.iterator():
+                place = tuple(place)
+                if place >= late:
+                    order.append(place)
+                    continue
+                for i, at in enumerate(self.at):
+                    if row[at] is not None and (before[i][0] is None or place > before[i][0]):
+                        before[i] = (place, row[at])
+            order.sort()
+            carried = [value for _, value in before]
+            stored = ((place, self.turns.getValue(place)) for place in order)
+            found = ((place, tuple(row[:-1]), row[-1]) for place, row in stored)
+        out = []
+        for place, row, copies in found:
+            for n in range(copies):
+                out.append((*row, *carried, place[2], n, revision))
+                carried = [new if new is not None else old
+                           for new, old in zip((row[at] for at in self.at), carried)]
+                if len(out) == REPLAYED:
+                    yield self._frame(out)
+                    out = []
+        newest = max(order[-1], last) if last else order[-1]
+        self.newest.update((*newest, *carried, revision))
+        if out:
+            yield self._frame(out)
+
+    def _places(self, frame: pd.DataFrame):
+        """Each row of a frame with its place in the thread."""
+        own = frame[self.columns].astype(object).where(frame[self.columns].notna(), None)
+        question, turn = self.columns.index("question"), self.columns.index("turn")
+        for row in own.itertuples(index=False, name=None):
+            text = "" if row[question] is None else hashlib.md5(row[question].encode()).hexdigest()
+            yield (int(row[turn]), text,
+                   hashlib.md5(repr(row).encode()).hexdigest()), row
+
+    def _store(self, place, row, copies: int) -> None:
+        known = self.turns.getValue(place) if self.turns.containsKey(place) else None
+        self.turns.updateValue(place, (*row, copies + (known[-1] if known else 0)))
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        names = [*self.columns, *[f"prev_{c}" for c in CARRIED], *REVISED]
+        return pd.DataFrame(rows, columns=names)
 
     def close(self) -> None:
         pass
@@ -72,22 +154,25 @@ def read_turn_stream(spark: SparkSession, path: str, schema: T.StructType,
         path)
 
 
-def stream_turns(turns: DataFrame, thread: str = "thread") -> DataFrame:
-    """Streaming turns with own ``question``, ``route`` and profile columns -> state after each.
+def stream_turns(turns: DataFrame, thread: str = "thread", ttl_ms: int | None = None) -> DataFrame:
+    """Streaming turns with own ``question``, ``route`` and profile columns -> state after each, with
+    the columns ``REVISED``.
 
-    Start it inside ``state_store_settings``.
+    ``ttl_ms``: forget turns that were not touched for so long. Start it inside
+    ``state_store_settings``.
     """
     flat = with_search(turns).select(
         *[c for c in turns.columns],
         F.col("search.question").alias("search_question"),
         F.col("search.route").alias("search_route"))
-    schema = T.StructType([*flat.schema.fields,
-                           *[T.StructField(f"prev_{c}", T.StringType()) for c in CARRIED]])
+    extra = [*[T.StructField(f"prev_{c}", T.StringType()) for c in CARRIED],
+             *[T.StructField(n, k) for n, k in zip(REVISED, (T.StringType(), T.LongType(), T.LongType()))]]
     carried = flat.groupBy(thread).transformWithStateInPandas(
-        statefulProcessor=CarryForward(), outputStructType=schema, outputMode="Append",
-        timeMode="None")
+        statefulProcessor=CarryForward(flat.schema.fields, ttl_ms),
+        outputStructType=T.StructType([*flat.schema.fields, *extra]), outputMode="Append",
+        timeMode="ProcessingTime" if ttl_ms else "None")
     packed = carried.select(
-        *turns.columns,
+        *turns.columns, *REVISED,
         F.when(F.col("search_route").isNotNull(),
                F.struct(F.col("search_question").alias("question"),
                         F.col("search_route").alias("route"))).alias("search"),
@@ -96,3 +181,11 @@ def stream_turns(turns: DataFrame, thread: str = "thread") -> DataFrame:
                F.struct(F.col("prev_search_question").alias("question"),
                         F.col("prev_search_route").alias("route"))).alias("prev_search"))
     return finish_turns(packed)
+
+
+def latest_revisions(states: DataFrame, thread: str = "thread") -> DataFrame:
+    """Of each turn, as the stream has put it out so far, the row of the highest revision."""
+    keys = [thread, "turn", *REVISED[:2]]
+    others = [c for c in states.columns if c not in (*keys, "revision")]
+    last = states.groupBy(*keys).agg(F.max_by(F.struct(*others), "revision").alias("last"))
+    return last.select(thread, "turn", *[F.col("last")[c].alias(c) for c in others])

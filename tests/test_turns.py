@@ -11,6 +11,7 @@ from oppsearch import fixed_values as V
 from oppsearch.functions import profile as P, routing as R
 from oppsearch.operators import turns as T
 from oppsearch.plans.answer import accept_questions
+from oppsearch.streaming import turns as stream_state
 from oppsearch.streaming.turns import read_turn_stream, state_store_settings, stream_turns
 
 FIELDS = ["degree_level", "field", "specialization", "current_education"]
@@ -133,6 +134,28 @@ def test_stream_state_equals_the_fold(spark, tmp_path):
     assert states(spark.read.parquet(out)) == expected(rows)
 
 
+@pytest.mark.parametrize("seed, held", [(1, 4096), (2, 3)])
+def test_stream_of_late_and_repeated_turns_equals_the_batch(spark, tmp_path, monkeypatch, seed, held):
+    """Turns arrive in any order and number, some twice, in several micro-batches."""
+    monkeypatch.setattr(stream_state, "REPLAYED", held)
+    rows = [(r[0], r[1] % 7, *r[2:]) for r in random_turns(seed, 8, 8)]
+    rows += rows[::5] + [("t0", 2, None, None, "MS", None, None, None)]
+    random.Random(seed).shuffle(rows)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    third = len(rows) // 3
+    for part in (rows[:third], rows[third:2 * third], rows[2 * third:]):
+        spark.createDataFrame(part, SCHEMA).repartition(2).write.mode("append").parquet(source)
+        turns = read_turn_stream(spark, source, spark.read.parquet(source).schema)
+        with state_store_settings(spark, 2):
+            stream_turns(turns).writeStream.format("parquet").option("path", out).option(
+                "checkpointLocation", str(tmp_path / "cp")).trigger(
+                availableNow=True).start().awaitTermination()
+    got = stream_state.latest_revisions(spark.read.parquet(out))
+    want = T.resolve_turns(spark.createDataFrame(rows, SCHEMA))
+    key = lambda df: sorted(str(r) for r in df.select(*sorted(want.columns)).collect())
+    assert key(got) == key(want)
+
+
 @pytest.mark.parametrize("block_bits", [T.BLOCK_BITS, 1])
 def test_history_totals(spark, block_bits):
     rows = [(t, n, "user" if n % 2 == 0 else "assistant", "x" * (n + t)) for t in range(3)
