@@ -151,7 +151,7 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     dealt = rows.select("doc_id", "text", F.explode(halo).alias("to")).select(
         "to.range", "to.halo", "doc_id", "text")
     sort = ["range", "halo", "doc_id", F.xxhash64("text")]
-    dealt = dealt.repartition(F.col("range")).sortWithinPartitions(*sort)
+    dealt = dealt.repartitionById(len(splits) + 1, F.col("range")).sortWithinPartitions(*sort)
     schema = ("doc_id long, n_chars long, edited string, fingerprint string, "
               "edited_fingerprint string, near_edited double, near_next double")
 
