@@ -18,6 +18,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from oppsearch.session import written
 from oppsearch.llm.texts import ALNUM_LOWER, utf8, word_steps
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -123,8 +124,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
     """doc_id, the ``carry`` columns, n_words, spans (word positions, end exclusive) and items.
 
     The windows are handed to the tasks in blocks of at most about ``block_bytes``: one block is
-    one pass over the documents, and a benchmark of any size takes as many passes as it needs.
-    Documents are never shuffled.
+    one pass over the documents, written to the shared folder before the next block is read, so
+    driver and tasks hold one block however large the benchmark is. Documents are never shuffled.
     """
     out = _search(docs, benchmark, F.col(doc_id), text, item_id, item_text, size, block_bytes,
                   carry)
@@ -148,6 +149,9 @@ def _search(docs, benchmark, key, text, item_id, item_text, size, block_bytes, c
         last = k == len(blocks) - 1
         schema = T.StructType([f for f in out.schema if not (last and f.name == "_text")])
         out = out.mapInArrow(_searcher(shared, last), schema)
+        if not last:
+            out = written(out, "searched")
+            shared.destroy()
     return out
 
 
