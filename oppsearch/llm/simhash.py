@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from oppsearch.llm.texts import LOWER, unused, utf8, word_steps
+from oppsearch.llm.texts import LOWER, shuffle_width, unused, utf8, word_steps
 from oppsearch.session import written
 
 
@@ -81,6 +81,8 @@ def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     ball = stored + [entry(i, v.bitwiseXOR(F.lit(flips[bit]).cast("long")))
                      for i, v in enumerate(values) for bit in range(cuts[i + 1] - cuts[i])
                      if radius]
+    # few bytes, so that the partitions would be made one, but many rows once they are exploded
+    distinct = distinct.repartition(shuffle_width(distinct))
     table = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*stored)).alias("k"))
     probes = distinct.select(F.col("fp").alias("a"), F.explode(F.array(*ball)).alias("k"))
     met = probes.select("a", "k.*").join(table.select("b", "k.*"), ["segment", "value"])
