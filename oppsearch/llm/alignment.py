@@ -19,8 +19,7 @@ irregular groups, are counted as pairs and shuffled.
 
 Long texts are encoded in parts of about ``PART_CHARS``, cut before a space after a letter or digit,
 where neither the splitting pattern of A nor a vocabulary piece of B can reach across; a text without
-such a place is encoded whole. Parts are cut at all such places, and each distinct word so found is
-encoded once as long as a worker remembers it.
+such a place is encoded whole.
 
 Null and empty texts, and those whose tokens do not spell a space and the text (the mark U+2581
 inside, broken UTF-8), have no tokens: zeros and an empty digest. Repeated rows count as documents of
@@ -52,9 +51,11 @@ HOT_PAIRS = 1 << 18
 HELD_PAIRS = 1 << 21
 MARK = "▁"
 _CUT = re.compile(r"(?<=\w) ")
-_WORD_CUT = re.compile(r"(?<=\w) (?=\S)")
-#: Words whose ids a Python worker remembers, and the characters of one that it forgets at once.
-KNOWN_WORDS, LONG_WORD = 300_000, 64
+#: Latin letters, marks and spaces, on whose kinds all regular expression engines agree.
+_KNOWN = re.compile("[\x00-\u024f\u2000-\u2064]*")
+_LONG_SPACE = re.compile(r"\s{1000}")
+#: How byte-level vocabularies of this family split a text before merging.
+SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 LISTS = ["same", "same_n", "pair_a", "pair_b", "pair_n"]
@@ -80,13 +81,15 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            stored = json.load(f)
+        vocabulary = stored["model"]["vocab"]
         size = max(self.a.get_vocab_size(with_added_tokens=True), max(vocabulary.values()) + 1)
         letters = byte_letters()
         self.bytes_a = [b""] * size
         for piece, i in vocabulary.items():
             self.bytes_a[i] = bytes(letters[c] for c in piece) if all(
                 c in letters for c in piece) else piece.encode()
+        self.ranked = self._ranked(stored)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         single = [self.b.is_byte(i) for i in range(len(pieces))]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if one else p.replace(MARK, " ").encode()
@@ -99,14 +102,26 @@ class Tokenizers:
         #: For each id of A the id of B that has the same bytes, or -1.
         self.same = np.array([by_bytes.get(x, -1) if x else -1 for x in self.bytes_a], np.int64)
         self.size_a, self.size_b = size, len(pieces)
-        self.cuts_words = not any(p[1] == MARK and re.match(r"\w", p[0]) for p in self.joined)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
         #: Each id as decimal digits and a mark: between ids, between sides, between groups.
         self.written = np.array([f"{i}{end}".encode() for end in ",|;"
                                  for i in range(max(size, len(pieces)))], object)
 
+    def _ranked(self, stored: dict):
+        """A's vocabulary for ``tiktoken``, which merges by id: only if the ids follow the merges and
+        nothing but the usual splitting pattern is set."""
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in stored["model"]["merges"]]
+        ids = [stored["model"]["vocab"][a + b] for a, b in pairs]
+        plain = (stored["normalizer"] is None and stored["pre_tokenizer"] == {
+            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+        if not plain or ids != list(range(256, 256 + len(ids))):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("vocabulary", pat_str=SPLIT, special_tokens={}, mergeable_ranks={
+            self.bytes_a[i]: i for i in range(256 + len(ids))})
+
     def parts(self, text: str, size: int) -> Iterator[str]:
         """Parts that, each with a space in front, spell a space and the text, and whose tokens are
         those of the whole."""
@@ -121,37 +136,25 @@ class Tokenizers:
             start = found + 1
         yield text[start:]
 
-    def words(self, part: str) -> list[str]:
-        """The part, cut by the same rule wherever a letter or digit, a space and no other white
-        space follow one another."""
-        return _WORD_CUT.split(part) if self.cuts_words else [part]
-
-    def learn(self, words: list[str]) -> None:
-        a = self.a.encode_batch([" " + w for w in words], add_special_tokens=False)
-        for w, x, y in zip(words, a, self.b.encode(words, num_threads=1)):
-            raw, x = b" " + w.encode(), x.ids
-            right = (b"".join(map(self.bytes_a.__getitem__, x)) == raw
-                     and b"".join(map(self.bytes_b.__getitem__, y)) == raw)
-            self.known[w] = (np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()
-                             ) if right else None
+    def encode_a(self, parts: list[str]) -> list[list[int]]:
+        """The ids of a space and each part. Parts of letters that every version of Unicode knows go
+        to a faster library with the same vocabulary, others and very long words to the slower."""
+        quick = [self.ranked is not None and _KNOWN.fullmatch(p) is not None
+                 and max(map(len, p.split()), default=0) < 1000
+                 and _LONG_SPACE.search(p) is None for p in parts]
+        rest = iter(self.a.encode_batch([" " + p for p, q in zip(parts, quick) if not q],
+                                        add_special_tokens=False))
+        return [self.ranked.encode_ordinary(" " + p) if q else next(rest).ids
+                for p, q in zip(parts, quick)]
 
     def encode(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """The ids of each part in both, None where they do not spell a space and the part. Each
-        distinct word of a step is encoded once."""
-        split = [self.words(p) for p in parts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = set().union(*split)
-        self.learn(list(new))
+        """The ids of each part in both, None where they do not spell a space and the part."""
         out = []
-        for words in split:
-            found = [self.known[w] for w in words]
-            out.append(None if None in found else tuple(
-                np.frombuffer(b"".join([f[side] for f in found]), "<i4") for side in (0, 1)))
-        for w in new:
-            if len(w) > LONG_WORD:
-                del self.known[w]
+        for p, x, y in zip(parts, self.encode_a(parts), self.b.encode(parts, num_threads=1)):
+            raw = b" " + p.encode()
+            right = (b"".join(map(self.bytes_a.__getitem__, x)) == raw
+                     and b"".join(map(self.bytes_b.__getitem__, y)) == raw)
+            out.append((np.array(x, np.int64), np.array(y, np.int64)) if right else None)
         return out
 
     def groups_text(self, a, b, last_a, last_b, group_a, group_b) -> list[bytes]:

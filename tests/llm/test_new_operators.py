@@ -203,6 +203,17 @@ def test_parts_have_the_tokens_of_the_whole():
         assert [i for x in split for i in x[1]] == tok.b.encode(text)
 
 
+def test_both_libraries_give_the_same_ids():
+    tok = alignment.tokenizers_of(queries.tokenizer_path(A), queries.tokenizer_path(B))
+    assert tok.ranked is not None
+    rng = random.Random(9)
+    letters = [chr(i) for i in [*range(0x250), *range(0x2000, 0x2065)]] + list("aeiou   's\n\t") * 20
+    texts = ["".join(rng.choices(letters, k=rng.randrange(80))) for _ in range(4000)]
+    texts += ["日本 " + t for t in texts[:50]] + ["x" * 5000, " " * 5000, "<|endoftext|>"]
+    want = [e.ids for e in tok.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert tok.encode_a(texts) == want
+
+
 def test_identity_map_has_the_same_bytes():
     tok = alignment.tokenizers_of(queries.tokenizer_path(A), queries.tokenizer_path(B))
     mapped = [i for i in range(tok.size_a) if tok.same[i] >= 0]
