@@ -112,7 +112,7 @@ def load_split(raw: DataFrame, kind: str, carry: tuple[str, ...] = ()
         *[F.when((F.upper(n) != "NULL") & c(n).try_cast("date").isNull(), n) for n in dates])
     checked = both.withColumn("bad_columns", bad)
     good = checked.filter(c("bad_columns") == "").select(*carry, *cells)
-    rejects = checked.filter(c("bad_columns") != "").select("raw.*", "bad_columns")
+    rejects = checked.filter(c("bad_columns") != "").select("raw.*", *carry, "bad_columns")
     clean = clean_programs if kind == "programs" else clean_finances
     return clean(good, carry=carry), rejects
 
@@ -125,7 +125,8 @@ def file_place() -> Column:
 
 def load_table(raw: DataFrame, kind: str, folder: str, parent: DataFrame | None = None) -> None:
     """Insert the rows of a file scan whose key is not stored yet into ``folder``/rows, of rows
-    with one key the first in file order, and write the scan's rejected rows to ``folder``/rejects.
+    with one key the first in file order, and write the scan's rejected rows to ``folder``/rejects, each
+    file's in a part of their own: a file that is loaded again replaces its own and no other's.
 
     ``parent``: the programs that finance rows must name; a missing one is an error before anything
     is written.
@@ -133,10 +134,13 @@ def load_table(raw: DataFrame, kind: str, folder: str, parent: DataFrame | None
     spark = raw.sparkSession
     schema, key = {"programs": (S.PROGRAMS, "id"), "finances": (S.FINANCES, "university_id")}[kind]
     create_table(spark, f"{folder}/rows", schema)
+    create_table(spark, f"{folder}/rejects/file=none", ", ".join(
+        f"{n} STRING" for n in (*raw.columns, "bad_columns")))
     good, rejects = load_split(raw.withColumn("_place", file_place()), kind, ("_place",))
     present = read_table(spark, f"{folder}/rows", schema)
     new = insert_if_absent(good, present, [key], ["_place"]).drop("_place")
     if parent is not None:
         require_fk(new, parent, key, "id")
-    rejects.write.mode("overwrite").parquet(f"{folder}/rejects")
+    (rejects.withColumn("file", F.md5("_place.file_path")).drop("_place").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(f"{folder}/rejects"))
     append_table(new, f"{folder}/rows", schema)

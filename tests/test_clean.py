@@ -120,3 +120,17 @@ def test_json_array_documents(spark, tmp_path):
     (tmp_path / "j.json").write_text('[{"title": "T", "research_areas": ["a", "b"]}]')
     jobs = files.read_position_docs(spark, str(tmp_path / "j.json")).collect()
     assert jobs[0].research_areas == ["a", "b"]
+
+
+def test_rejects_of_separate_loads(spark, tmp_path):
+    """A second file keeps the first one's rejects; a file loaded again has its own once."""
+    from oppsearch.operators.load import load_table
+
+    head = "id,program_name,university_name,field_category,deadline_ir,deadline_non_ir,funding_type\n"
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text(head + f"x{name},B,U,CS,,,\n1,A,U,CS,,,\n")
+    folder = str(tmp_path / "table")
+    for name in "aba":
+        load_table(files.read_programs(spark, str(tmp_path / f"{name}.csv")), "programs", folder)
+    found = spark.read.parquet(f"{folder}/rejects").collect()
+    assert sorted((r.id, r.bad_columns) for r in found) == [("xa", "id"), ("xb", "id")]
