@@ -82,18 +82,22 @@ class Sources:
     as_of: dt.date
 
 
+def asked_filters(asked: DataFrame, programs: DataFrame) -> DataFrame:
+    """The structured-search filters of questions with ``question_id, query, field``. Only a stored
+    category restricts: a profile field of another name is no filter."""
+    c = F.col
+    stored = programs.select(c("field_category").alias("category")).distinct()
+    return asked.join(stored, asked["field"] == stored["category"], "left").select(
+        "question_id", "category", *[v.alias(n) for n, v in question_filters(c("query")).items()])
+
+
 def retrieve(state: DataFrame, sources: Sources) -> DataFrame:
     """Context rows of all questions. ``state`` has ``question_id, query, enriched_query, choice,
     field, web_search`` and is read by every branch, so it should be a stored table; each branch
     filters by the retrieval choice before it embeds or joins anything."""
     c = F.col
-    # only a stored category restricts: a profile field of another name is no filter
-    stored = sources.programs.select(c("field_category").alias("category")).distinct()
-    asked = state.filter(R.uses_structured(c("choice")))
     structured = structured_hits(
-        asked.join(stored, asked["field"] == stored["category"], "left").select(
-            "question_id", "category",
-            *[v.alias(n) for n, v in question_filters(c("query")).items()]),
+        asked_filters(state.filter(R.uses_structured(c("choice"))), sources.programs),
         sources.programs, sources.finances, sources.as_of)
     described = vector_hits(state.filter(R.uses_program_vectors(c("choice"))),
                             sources.program_vectors, PROGRAM_COLUMNS, sources.embed)

@@ -21,9 +21,10 @@ from oppsearch.operators.structured import structured_hits
 from oppsearch.operators.vectors import (
     anchor_scores, hash_embed, nearest, vector_router, vector_search)
 from oppsearch.plans.answer import (
-    Sources, accept_questions, answer_questions, evaluate_questions, prepare_turns, question_state)
+    Sources, accept_questions, answer_questions, asked_filters, evaluate_questions, prepare_turns,
+    question_state)
 from oppsearch.plans.views import cte, program_documents, table, typed_finances, view
-from oppsearch.session import scratch_dir
+from oppsearch.session import scratch_dir, written
 from oppsearch.sources import files, tables
 from oppsearch.streaming.indexing import start_indexing, stream_documents
 from oppsearch.streaming.turns import (
@@ -1095,6 +1096,11 @@ CARD_SQL = """'### ' || program_name || coalesce(chr(10) || '- **University**: '
   || coalesce(chr(10) || '- **More info**: ' || json_extract_string(urls, '$[0]'), '')"""
 
 
+ABOUT_SQL = """  || coalesce(chr(10) || '- **About**: ' || nullif(best.about, ''), '')
+  || coalesce(chr(10) || '- **Admission**: ' || nullif(best.admission, ''), '')
+"""
+
+
 @query(cte("programs", "finances") + f"""
 SELECT id, {CARD_SQL} AS card FROM programs LEFT JOIN finances ON university_id = id""")
 def result_cards(spark, sf):
@@ -1139,48 +1145,6 @@ def description_cards(spark, sf):
         X.trimmed(c("sections.admission.content")), c("official_url")).alias("card"))
 
 
-def _near(spark, sf, docs: DataFrame, kept) -> DataFrame:
-    """Three hits of each question: the documents with its number and the two after it."""
-    asked = table(spark, sf, "benchmark").filter(kept).select(
-        c("item_id").alias("question_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
-    return asked.select("question_id", (c("n") + 1).alias("rank"),
-                        (c("question_id") + c("n")).alias("doc_id")).join(docs, "doc_id")
-
-
-@query(FILTERS_SQL.replace("WITH programs", "WITH " + cte("position_docs", "program_docs")
-                           .removeprefix("WITH ") + ",\nprograms") + f""",
-near AS (SELECT item_id AS question_id, n + 1 AS rank, item_id + n AS doc_id
-         FROM benchmark, unnest([0, 1, 2]) AS t(n)),
-shown AS (
-  SELECT question_id, 0 AS layout, coalesce(TRY_CAST(deadline AS DATE) < DATE '2025-02-01', false) AS passed,
-         rank, {POSITION_CARD_SQL} AS card FROM near JOIN position_docs USING (doc_id) WHERE question_id % 3 = 0
-  UNION ALL
-  SELECT question_id, 1, coalesce(deadline_ir < DATE '1998-01-01', false), rank, {CARD_SQL} FROM top
-  WHERE question_id % 5 <> 1
-  UNION ALL
-  SELECT question_id, 2, false, rank, concat_ws(chr(10), '### ' || coalesce(university_name, ''),
-         '- **About**: ' || nullif(description, ''), '- **More info**: ' || nullif(coalesce(official_url, ''), ''))
-  FROM near JOIN program_docs USING (doc_id) WHERE question_id % 2 = 1),
-chosen AS (SELECT question_id, min(layout) AS layout FROM shown GROUP BY 1)
-SELECT question_id, ['position', 'program', 'description'][layout + 1] AS layout,
-       CAST(count(*) AS INT) AS n_cards, bool_and(passed) AS all_passed,
-       CASE WHEN layout = 1 AND bool_and(passed) THEN {_quoted(V.ALL_PASSED_TEXT)} || chr(10) || chr(10) ELSE '' END
-       || string_agg(card, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY passed, rank) AS cards
-FROM shown JOIN chosen USING (question_id, layout) GROUP BY question_id, layout""")
-def question_cards(spark, sf):
-    """Positions for a third of the questions, structured hits for most, descriptions for half."""
-    i = c("item_id")
-    positions = _near(spark, sf, view(spark, sf, "position_docs"), i % 3 == 0).withColumn(
-        "research_areas", X.join_list(c("research_areas")))
-    described = _near(spark, sf, view(spark, sf, "program_docs"), i % 2 == 1).select(
-        "question_id", "rank", F.coalesce("university_name", F.lit("")).alias("university_name"),
-        "description", c("official_url").alias("url"))
-    return Q.question_cards(
-        Q.position_rows(positions, F.lit(dt.date(2025, 2, 1))),
-        Q.program_rows(_structured(spark, sf).filter("question_id % 5 <> 1"), F.lit(AS_OF)),
-        Q.description_rows(described))
-
-
 @query(cte("programs", "finances") + """
 SELECT id, CAST(to_json({'id': id, 'program_name': program_name, 'funding_type': funding_type,
        'tuition_fee_eu_per_year': tuition_fee_eu_per_year,
@@ -1275,16 +1239,18 @@ asked AS (SELECT thread, turn,
      lambda x: x IS NOT NULL) AS funding,
    contains(lower(query), 'upcoming') AS upcoming_only
    FROM gated WHERE choice IN ('query_db', 'hybrid')),
-matched AS (SELECT thread, turn, least(20, count(*)) AS n FROM asked JOIN (
-     SELECT *, coalesce(deadline_ir >= DATE '1998-01-01', false) AS upcoming
-     FROM programs LEFT JOIN finances ON university_id = id) j
+joined AS (SELECT *, coalesce(deadline_ir >= DATE '1998-01-01', false) AS upcoming
+     FROM programs LEFT JOIN finances ON university_id = id),
+top AS (SELECT thread, turn, j.*, row_number() OVER (PARTITION BY thread, turn
+     ORDER BY upcoming DESC, deadline_ir ASC NULLS LAST, id) AS rank FROM asked JOIN joined j
    ON (category IS NULL OR category = field_category)
    AND (cap IS NULL OR (university_id IS NOT NULL AND
         coalesce(CASE WHEN non_eu THEN tuition_fee_non_eu_per_year ELSE tuition_fee_eu_per_year END,
                  0) <= cap))
    AND (len(funding) = 0 OR coalesce(list_has_all(from_json(funding_category, '["VARCHAR"]'),
         funding), false))
-   AND (NOT upcoming_only OR upcoming) GROUP BY ALL),
+   AND (NOT upcoming_only OR upcoming) QUALIFY rank <= 20),
+matched AS (SELECT thread, turn, count(*) AS n FROM top GROUP BY ALL),
 counted AS (SELECT thread, turn, choice, ask, enriched_query, web_search,
    CAST(coalesce(n, 0) AS INT) AS n_db,
    CASE WHEN choice IN ('vector_search', 'hybrid') THEN 5 ELSE 0 END AS n_program,
@@ -1304,6 +1270,71 @@ def answer_batch(spark, sf):
         (F.col("n_db") + F.col("n_program") + F.col("n_position") > 0).alias("has_stored_data"))
 
 
+def _asked_sql(choices: str) -> str:
+    return ("SELECT thread || '/' || turn AS query_id, enriched_query AS query FROM gated "
+            f"WHERE choice IN ({choices})")
+
+
+SHOWN_SQL = ANSWER_SQL.replace("WITH ", "WITH " + cte("described_docs", "position_docs")
+                               .removeprefix("WITH ") + ",\n", 1) + f""",
+dh AS ({_lexical_sql(_asked_sql("'vector_search', 'hybrid'"),
+                     "SELECT doc_id AS id, description AS text FROM described_docs", "", 5)}),
+ph AS ({_lexical_sql(_asked_sql("'professor_search'"),
+                     "SELECT doc_id AS id, description AS text FROM position_docs", "", 5)}),
+described AS (SELECT query_id AS question_id, rank, x.* FROM dh JOIN described_docs x ON doc_id = id),
+about AS (SELECT question_id, university_name,
+            arg_min({{'about': description, 'admission': admission}}, rank) AS best
+          FROM described GROUP BY ALL),
+shown AS (
+  SELECT query_id AS question_id, 0 AS layout, doc_id AS id,
+         coalesce(TRY_CAST(deadline AS DATE) < DATE '2025-02-01', false) AS passed, rank,
+         {POSITION_CARD_SQL} AS card FROM ph JOIN position_docs ON doc_id = id
+  UNION ALL
+  SELECT question_id, 1, id, coalesce(deadline_ir < DATE '1998-01-01', false), rank,
+         {CARD_SQL.replace("  || coalesce(chr(10) || '- **More info**", ABOUT_SQL
+                           + "  || coalesce(chr(10) || '- **More info**")}
+  FROM (SELECT *, thread || '/' || turn AS question_id FROM top)
+  LEFT JOIN about USING (question_id, university_name)
+  UNION ALL
+  SELECT question_id, 2, doc_id, false, rank, concat_ws(chr(10), '### ' || university_name,
+         '- **About**: ' || nullif(description, ''), '- **Admission**: ' || nullif(admission, ''),
+         '- **More info**: ' || nullif(url, '')) FROM described),
+chosen AS (SELECT question_id, min(layout) AS layout FROM shown GROUP BY 1)
+"""
+
+
+@query(SHOWN_SQL + f"""
+SELECT question_id, ['position', 'program', 'description'][layout + 1] AS layout,
+       CAST(count(*) AS INT) AS n_cards, bool_and(passed) AS all_passed,
+       CASE WHEN layout = 1 AND bool_and(passed) THEN {_quoted(V.ALL_PASSED_TEXT)} || chr(10) || chr(10) ELSE '' END
+       || string_agg(card, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY passed, rank) AS cards
+FROM shown JOIN chosen USING (question_id, layout) GROUP BY question_id, layout""")
+def question_cards(spark, sf):
+    """Every turn's cards, from what its retrieval choice finds: positions, structured hits with
+    the texts about their universities, or those texts alone."""
+    state = written(_state(spark, sf).select(
+        F.concat_ws("/", "thread", "turn").alias("question_id"), "query", "enriched_query",
+        "choice", "field"), "card-state")
+
+    def texts(docs: DataFrame, uses, payload: list[str]) -> DataFrame:
+        return lexical_search(docs, state.filter(uses), id_col="doc_id", text="description",
+                              query_id="question_id", query_text="enriched_query",
+                              payload=["description", *payload])
+
+    programs = view(spark, sf, "programs")
+    found = structured_hits(asked_filters(state.filter(R.uses_structured(c("choice"))), programs),
+                            programs, typed_finances(spark, sf), AS_OF)
+    described = texts(view(spark, sf, "described_docs"), R.uses_program_vectors(c("choice")),
+                      ["university_name", "admission", "url"])
+    positions = texts(view(spark, sf, "position_docs").withColumn(
+        "research_areas", X.join_list(c("research_areas"))), c("choice") == "professor_search",
+        ["title", "position_type", "professor_name", "university", "city", "country",
+         "research_areas", "funding", "deadline", "email", "url"])
+    return Q.question_cards(
+        Q.position_rows(positions, F.lit(dt.date(2025, 2, 1))),
+        Q.program_rows(found, F.lit(AS_OF), described), Q.description_rows(described))
+
+
 @query(None)
 def answer_contexts(spark, sf):
     """All turns with their context texts."""

@@ -95,6 +95,12 @@ VIEWS = {
         FROM {documents} d
         LEFT JOIN {supplier} s ON s.s_suppkey = d.n_chars % 10
         LEFT JOIN {nation} n ON n.n_nationkey = s.s_nationkey""",
+    # texts about the universities whose programs are stored; some documents belong to none
+    "described_docs": """
+        SELECT d.doc_id, coalesce(c.c_name, '') AS university_name, d.text AS description,
+               CASE WHEN d.lang = 'de' THEN '' ELSE concat('Admission in ', d.lang) END AS admission,
+               concat('https://example.org/d/', d.doc_id) AS url
+        FROM {documents} d LEFT JOIN {customer} c ON c.c_custkey = d.doc_id""",
     "fields": """
         SELECT c_mktsegment AS name FROM {customer} UNION SELECT p_name AS name FROM {part}
         UNION SELECT 'Electrical and Computer Engineering' UNION SELECT 'Business & Economics'
