@@ -124,7 +124,7 @@ def file_place() -> Column:
 
 
 def load_table(raw: DataFrame, kind: str, folder: str, parent: DataFrame | None = None) -> None:
-    """Insert the rows of a file scan whose key is not stored yet into ``folder``/rows, of rows
+    """Insert the rows of a file scan, or of a read in ranges, whose key is not stored yet into ``folder``/rows, of rows
     with one key the first in file order, and write the scan's rejected rows to ``folder``/rejects, each
     file's in a part of their own: a file that is loaded again replaces its own and no other's.
 
@@ -135,8 +135,9 @@ def load_table(raw: DataFrame, kind: str, folder: str, parent: DataFrame | None
     schema, key = {"programs": (S.PROGRAMS, "id"), "finances": (S.FINANCES, "university_id")}[kind]
     create_table(spark, f"{folder}/rows", schema)
     create_table(spark, f"{folder}/rejects/file=none", ", ".join(
-        f"{n} STRING" for n in (*raw.columns, "bad_columns")))
-    good, rejects = load_split(raw.withColumn("_place", file_place()), kind, ("_place",))
+        f"{n} STRING" for n in (*raw.columns, "bad_columns") if n != "_place"))
+    placed = raw if "_place" in raw.columns else raw.withColumn("_place", file_place())
+    good, rejects = load_split(placed, kind, ("_place",))
     present = read_table(spark, f"{folder}/rows", schema)
     new = insert_if_absent(good, present, [key], ["_place"]).drop("_place")
     if parent is not None:

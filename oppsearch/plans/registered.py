@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oppsearch import fixed_values as V, schemas as S
@@ -271,7 +272,7 @@ def csv_load_programs(spark, sf):
     _csv_cells(view(spark, sf, "programs"), ["program_name"]).write.csv(
         folder, header=True, quote='"', escape='"', quoteAll=True)
     stored = scratch_dir(spark, "programs-table")
-    L.load_table(files.read_programs(spark, folder), "programs", stored)
+    L.load_table(files.read_programs(spark, folder, ranges=True), "programs", stored)
     return tables.read_table(spark, f"{stored}/rows", S.PROGRAMS)
 
 
@@ -287,7 +288,7 @@ def _load_faulty(spark, sf) -> str:
         _csv_cells(part, []).write.csv(f"{folder}/{name}", header=True, quote='"', escape='"',
                                        quoteAll=True)
     for _ in range(2):  # the second load adds nothing
-        L.load_table(files.read_programs(spark, f"{folder}/*"), "programs", stored)
+        L.load_table(files.read_programs(spark, f"{folder}/*", ranges=True), "programs", stored)
     return stored
 
 
@@ -321,7 +322,7 @@ def csv_load_finances(spark, sf):
     _csv_cells(view(spark, sf, "finances"), []).write.csv(
         folder, header=True, quote='"', escape='"', quoteAll=True)
     stored = scratch_dir(spark, "finances-table")
-    L.load_table(files.read_finances(spark, folder), "finances", stored,
+    L.load_table(files.read_finances(spark, folder, ranges=True), "finances", stored,
                  parent=view(spark, sf, "programs"))
     return tables.read_table(spark, f"{stored}/rows", S.FINANCES).withColumns(
         {n: F.array_join(n, ";") for n in ("funding_category", "urls")})
@@ -1498,22 +1499,39 @@ def eval_json_sink(spark, sf):
     return spark.read.schema(log.schema).json(folder)
 
 
+def _json_arrays(docs: DataFrame) -> DataFrame:
+    """Lines of one JSON array for each partition, with line breaks between the brackets."""
+    def bracketed(batches):
+        yield pa.RecordBatch.from_pydict({"value": ["["]})
+        comma = ""
+        for batch in batches:
+            lines = []
+            for line in batch.column(0).to_pylist():
+                lines.append(comma + line)
+                comma = ","
+            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+    return docs.select(F.to_json(F.struct(*docs.columns)).alias("value")).mapInArrow(
+        bracketed, "value string")
+
+
 @query(STORED_TEXT_SQL + " SELECT official_url AS url, name AS university_name, text FROM composed")
 def json_docs_load(spark, sf):
-    """Program documents written as JSON and read back with the declared schema."""
+    """Program documents in files of JSON arrays, read in ranges with the declared schema."""
     folder = scratch_dir(spark, "docs-json")
-    _unique_documents(spark, sf).write.json(folder)
-    return I.program_records(files.read_program_docs(spark, folder, lines=True)).select(
+    _json_arrays(_unique_documents(spark, sf)).write.text(folder)
+    return I.program_records(files.read_program_docs(spark, folder, ranges=True)).select(
         "url", "university_name", "text")
 
 
 @query(cte("position_docs") + " SELECT doc_id, text FROM (" + POSITION_TEXT_SQL + ")")
 def position_docs_load(spark, sf):
-    """Position documents written as JSON and read back with the declared schema."""
+    """Position documents in files of JSON arrays, read in ranges with the declared schema."""
     folder = scratch_dir(spark, "positions-json")
     docs = view(spark, sf, "position_docs").withColumn("email", c("doc_id").cast("string"))
-    docs.write.json(folder)
-    read = files.read_position_docs(spark, folder, lines=True)
+    _json_arrays(docs).write.text(folder)
+    read = files.read_position_docs(spark, folder, ranges=True)
     return read.select(c("email").cast("long").alias("doc_id"), X.position_text(*[c(n) for n in (
         "title", "position_type", "university", "city", "country", "professor_name", "department",
         "research_areas", "description", "requirements", "funding", "deadline")]).alias("text"))
