@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from oppsearch import schemas as S
 from oppsearch.functions import clean as C
+from oppsearch.session import written
 from oppsearch.sources.tables import append_table, create_table, read_table
 
 
@@ -136,7 +137,9 @@ def load_table(raw: DataFrame, kind: str, folder: str, parent: DataFrame | None
     create_table(spark, f"{folder}/rows", schema)
     create_table(spark, f"{folder}/rejects/file=none", ", ".join(
         f"{n} STRING" for n in (*raw.columns, "bad_columns") if n != "_place"))
-    placed = raw if "_place" in raw.columns else raw.withColumn("_place", file_place())
+    # rows and rejects both need the scan; a read in ranges goes through Python, so it is made once
+    placed = (written(raw, "raw-rows") if "_place" in raw.columns else
+              raw.withColumn("_place", file_place()))
     good, rejects = load_split(placed, kind, ("_place",))
     present = read_table(spark, f"{folder}/rows", schema)
     new = insert_if_absent(good, present, [key], ["_place"]).drop("_place")

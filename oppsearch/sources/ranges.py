@@ -254,7 +254,9 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str, place: boo
                                 number.alias("row")).alias("_place"), text.alias("text"))
     first = (c("_place.file_block_start") == 0) & (c("_place.row") == 0)
     cells = rows.filter(~first & (c("text") != "")).select(
-        "_place", F.from_csv("text", schema, {"quote": '"', "escape": '"', "multiLine": "true"})
+        # a record is far smaller than the buffer a file would get
+        "_place", F.from_csv("text", schema, {"quote": '"', "escape": '"', "multiLine": "true",
+                                              "inputBufferSize": "1024"})
         .alias("r"))
     return cells.select("r.*", *["_place"] if place else [])
 
