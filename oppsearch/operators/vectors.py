@@ -27,28 +27,54 @@ class EmbeddingProvider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
-def embed_with(df: DataFrame, text: str, provider: EmbeddingProvider) -> DataFrame:
-    """Add ``embedding`` and ``error``. A batch that fails is retried text by text; the texts that
-    fail alone get a NULL vector and the error message."""
+def _requests(texts: list[str], max_texts: int, max_chars: int) -> Iterator[list[str]]:
+    """The distinct texts in runs within both bounds; a text longer than the bound goes alone."""
+    run, chars = [], 0
+    for t in dict.fromkeys(texts):
+        size = len(t or "")
+        if run and (len(run) == max_texts or chars + size > max_chars):
+            yield run
+            run, chars = [], 0
+        run.append(t)
+        chars += size
+    if run:
+        yield run
+
+
+def _ask(provider: EmbeddingProvider, texts: list[str]) -> Iterator[tuple[str, tuple]]:
+    """Each text with its vector or error. A failed request is halved until the texts that fail are
+    alone, so one bad text among n costs about 2 log n requests."""
+    waiting = [texts]
+    while waiting:
+        asked = waiting.pop()
+        try:
+            vectors = provider.embed(asked)
+            if len(vectors) != len(asked):
+                raise ValueError("one vector per text expected")
+            yield from ((t, (v, None)) for t, v in zip(asked, vectors))
+        except Exception as exc:  # the provider's own failures are data here
+            if len(asked) == 1:
+                yield asked[0], (None, f"{type(exc).__name__}: {exc}")
+            else:
+                half = len(asked) // 2
+                waiting += [asked[half:], asked[:half]]
+
+
+def embed_with(df: DataFrame, text: str, provider: EmbeddingProvider, max_texts: int = 256,
+               max_chars: int = 400_000) -> DataFrame:
+    """Add ``embedding`` and ``error``. A request holds at most ``max_texts`` texts and ``max_chars``
+    characters, or one longer text; equal texts of an Arrow batch are asked once. Texts that fail
+    alone get a NULL vector and the error message."""
     schema = T.StructType([*df.schema.fields,
                            T.StructField("embedding", T.ArrayType(T.FloatType())),
                            T.StructField("error", T.StringType())])
 
-    def one(value: str):
-        try:
-            return provider.embed([value])[0], None
-        except Exception as exc:  # the provider's own failures are data here
-            return None, f"{type(exc).__name__}: {exc}"
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            try:
-                results = [(v, None) for v in provider.embed(texts)]
-                if len(results) != len(texts):
-                    raise ValueError("one vector per text expected")
-            except Exception:
-                results = [one(t) for t in texts]
+            found = {t: r for asked in _requests(texts, max_texts, max_chars)
+                     for t, r in _ask(provider, asked)}
+            results = [found[t] for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([v for v, _ in results], pa.list_(pa.float32())),
                  pa.array([e for _, e in results], pa.string())],

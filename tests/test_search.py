@@ -218,3 +218,67 @@ def test_vectors_of_mixed_length_are_refused(spark):
     q = spark.createDataFrame([(0, [1.0, 2.0])], "query_id int, query_vector array<float>")
     with pytest.raises(PySparkException):
         vectors.vector_search(s.coalesce(1), q, 1).collect()
+
+
+def counting():
+    class Counting:
+        """A model of 2-number vectors that refuses texts with "bad" and notes its requests."""
+
+        dim = 2
+
+        def __init__(self):
+            self.asked = []
+
+        def embed(self, texts):
+            self.asked.append(list(texts))
+            if any("bad" in t for t in texts):
+                raise RuntimeError("refused")
+            return [[float(len(t)), 1.0] for t in texts]
+
+    return Counting()
+
+
+def test_a_bad_text_costs_few_requests():
+    model = counting()
+    texts = [f"t{i}" for i in range(1000)] + ["bad"]
+    found = dict(vectors._ask(model, texts))
+    assert found["bad"] == (None, "RuntimeError: refused") and found["t7"] == ([2.0, 1.0], None)
+    assert len(found) == 1001 and len(model.asked) <= 2 * 10 + 3
+
+
+def test_requests_are_bounded_and_distinct():
+    texts = ["a" * 30, "b", "a" * 30, "c" * 500, "", "d" * 60, "e" * 60, *map(str, range(9))]
+    runs = list(vectors._requests(texts, 4, 100))
+    assert [t for r in runs for t in r] == list(dict.fromkeys(texts))
+    assert all(len(r) <= 4 and (len(r) == 1 or sum(map(len, r)) <= 100) for r in runs)
+    assert list(vectors._requests([], 4, 100)) == []
+
+
+def test_embedding_rows_with_repeats_and_a_bad_text(spark):
+    df = spark.createDataFrame([(i, "bad" if i == 5 else f"t{i % 7}") for i in range(50)],
+                               "i int, t string").coalesce(1)
+    got = {r.i: r for r in vectors.embed_with(df, "t", counting(), max_texts=3).collect()}
+    assert len(got) == 50 and got[5].embedding is None and "refused" in got[5].error
+    assert all(r.embedding == [2.0, 1.0] and r.error is None for i, r in got.items() if i != 5)
+
+
+def test_program_cards_take_texts_about_their_university(spark):
+    """The best-ranked text of the same question and university; others leave the lines out."""
+    import datetime as dt
+
+    from oppsearch.operators.question_cards import program_rows, question_cards
+
+    hits = spark.createDataFrame(
+        [("q", 1, "P1", "U1"), ("q", 2, "P2", "U2"), ("r", 1, "P1", "U1")],
+        "question_id string, rank int, program_name string, university_name string").selectExpr(
+        "*", "cast(null as string) as field_category", "date'2030-01-01' as deadline_ir",
+        "cast(null as string) as funding_type", "1 as tuition_fee_eu_per_year",
+        "2 as tuition_fee_non_eu_per_year", "array('u') as urls")
+    described = spark.createDataFrame(
+        [("q", 2, "U1", "worse", "x"), ("q", 1, "U1", "better", None), ("r", 1, "U3", "other", "y")],
+        "question_id string, rank int, university_name string, description string, "
+        "admission string")
+    got = {r.question_id: r.cards for r in question_cards(
+        program_rows(hits, F.lit(dt.date(2025, 1, 1)), described)).collect()}
+    assert "- **About**: better" in got["q"] and "Admission" not in got["q"]
+    assert got["q"].count("About") == 1 and "About" not in got["r"]
