@@ -1,11 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv factoring of documents against all indexed blocks.
+"""Substring dedup: phrases of documents looked up in an index of all blocks' phrases.
 
 The corpus is dealt into blocks of bounded size. Each block lists its phrases of ``size`` words; the
-index names, for each phrase, the smallest document that holds it in any block. A document is then
-factored greedily from left to right: a factor starts at a phrase that the index has from a smaller
-document and grows word by word while the next phrase is there too, so it has at least ``size``
-words; the phrases that start within a factor's end and reach beyond it are looked up as well
-before the next factor begins. All words of factors are duplicate spans.
+index names, for each phrase, the smallest document that holds it in any block. Every phrase of a
+document that the index has from a smaller document is a hit; hits that touch or overlap are merged,
+and the words they cover are the duplicate spans. This stands in for a relative Lempel-Ziv parse: no
+factor is grown in the text of a reference block, so a merged span may be glued from phrases of different
+documents.
 
 Only phrases that can occur twice are exchanged: every phrase has an anchor, the smallest hash among
 its runs of six words, and equal phrases have equal anchors. Blocks first exchange their anchors, a
