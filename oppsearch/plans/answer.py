@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from oppsearch import fixed_values as V, schemas as S
 from oppsearch.functions import routing as R
 from oppsearch.functions.profile import extract_profiles, question_filters
-from oppsearch.operators import context as C
+from oppsearch.operators import context as C, question_cards as Q
+from oppsearch.operators.evaluate import DB_ROUTES, VECTOR_ROUTES, grounding, stage_timings
 from oppsearch.operators.index import Embed
 from oppsearch.operators.lexical import search_pages
 from oppsearch.operators.structured import structured_hits
+from oppsearch.operators.text_index import TextIndex
 from oppsearch.operators.turns import BLOCK_BITS, gate, lengths, resolve_turns
 from oppsearch.operators.vectors import vector_search
 from oppsearch.session import written
@@ -71,13 +76,14 @@ def vector_hits(asked: DataFrame, stored: DataFrame, columns: list[str],
 
 @dataclass(frozen=True)
 class Sources:
-    """What questions are answered from, and how their texts are embedded."""
+    """What questions are answered from, and how their texts are embedded. Pages are a crawled
+    table or an index of one (``index_pages``)."""
 
     programs: DataFrame
     finances: DataFrame
     program_vectors: DataFrame
     position_vectors: DataFrame
-    pages: DataFrame
+    pages: DataFrame | TextIndex
     embed: Embed
     as_of: dt.date
 
@@ -91,28 +97,89 @@ def asked_filters(asked: DataFrame, programs: DataFrame) -> DataFrame:
         "question_id", "category", *[v.alias(n) for n, v in question_filters(c("query")).items()])
 
 
-def retrieve(state: DataFrame, sources: Sources) -> DataFrame:
-    """Context rows of all questions. ``state`` has ``question_id, query, enriched_query, choice,
-    field, web_search`` and is read by every branch, so it should be a stored table; each branch
-    filters by the retrieval choice before it embeds or joins anything."""
+@dataclass(frozen=True)
+class Found:
+    """The hits of every source for the questions that ask it, and what went wrong: the error of
+    each source that could not be searched."""
+
+    db: DataFrame
+    program: DataFrame
+    position: DataFrame
+    web: DataFrame
+    failed: dict[str, str]
+
+
+def _hit_schemas(state: DataFrame, sources: Sources) -> dict[str, T.StructType]:
+    """Columns of each source's hits."""
+    asked = state.schema["question_id"].dataType
+    stored = {f.name: f.dataType for t in (sources.programs, sources.finances) for f in t.schema}
+
+    def hits(columns: list[str], types: dict[str, T.DataType]) -> T.StructType:
+        out = T.StructType().add("question_id", asked).add("rank", T.IntegerType())
+        for n in columns:
+            out.add(n, types.get(n, T.StringType()))
+        return out
+
+    score = {"score": T.DoubleType()}
+    return {"db": hits(STRUCTURED_COLUMNS, stored),
+            "program": hits(["score", *PROGRAM_COLUMNS], score),
+            "position": hits(["score", *POSITION_COLUMNS], score),
+            "web": hits(["title", "url", "content"], {})}
+
+
+def search_sources(state: DataFrame, sources: Sources, errors_as_data: bool = False) -> Found:
+    """Search every source. ``state`` has ``question_id, query, enriched_query, choice, field,
+    web_search`` and is read by every branch, so it should be a stored table; each branch filters by
+    the retrieval choice before it embeds or joins anything.
+
+    ``errors_as_data``: each source's hits are written at once; one whose search fails has no hits
+    and is named in ``failed``, and the others are searched all the same. Otherwise an error ends
+    the whole table of questions.
+    """
     c = F.col
-    structured = structured_hits(
-        asked_filters(state.filter(R.uses_structured(c("choice"))), sources.programs),
-        sources.programs, sources.finances, sources.as_of)
-    described = vector_hits(state.filter(R.uses_program_vectors(c("choice"))),
-                            sources.program_vectors, PROGRAM_COLUMNS, sources.embed)
-    positions = vector_hits(state.filter(c("choice") == "professor_search"),
-                            sources.position_vectors, POSITION_COLUMNS, sources.embed)
-    web = search_pages(
-        state.filter(c("web_search") & (c("choice") != "end"))
-        .select("question_id", "enriched_query"),
-        sources.pages, V.WEB_TOP_K, query_id="question_id", query_text="enriched_query")
+
+    def web() -> DataFrame:
+        asked = state.filter(c("web_search") & (c("choice") != "end")).select(
+            "question_id", "enriched_query")
+        ids = {"query_id": "question_id", "query_text": "enriched_query"}
+        if isinstance(sources.pages, TextIndex):
+            return sources.pages.search(asked, V.WEB_TOP_K, payload=["title", "url", "content"],
+                                        **ids)
+        return search_pages(asked, sources.pages, V.WEB_TOP_K, **ids)
+
+    searches = {
+        "db": lambda: structured_hits(
+            asked_filters(state.filter(R.uses_structured(c("choice"))), sources.programs),
+            sources.programs, sources.finances, sources.as_of),
+        "program": lambda: vector_hits(state.filter(R.uses_program_vectors(c("choice"))),
+                                       sources.program_vectors, PROGRAM_COLUMNS, sources.embed),
+        "position": lambda: vector_hits(state.filter(c("choice") == "professor_search"),
+                                        sources.position_vectors, POSITION_COLUMNS, sources.embed),
+        "web": web}
+    if not errors_as_data:
+        return Found(**{name: search() for name, search in searches.items()}, failed={})
+    hits, failed = {}, {}
+    for name, schema in _hit_schemas(state, sources).items():
+        try:
+            hits[name] = written(searches[name]().select(*schema.names), f"{name}-hits")
+        except (PySparkException, Py4JError) as error:
+            hits[name] = state.sparkSession.createDataFrame([], schema)
+            failed[name] = str(error)
+    return Found(**hits, failed=failed)
+
+
+def context_sections(found: Found) -> DataFrame:
     return C.all_sections(
-        C.json_section(structured, "db", "question_id", "rank", STRUCTURED_COLUMNS),
-        C.json_section(described, "program", "question_id", "rank", [*PROGRAM_COLUMNS, "score"]),
-        C.json_section(positions, "position", "question_id", "rank",
+        C.json_section(found.db, "db", "question_id", "rank", STRUCTURED_COLUMNS),
+        C.json_section(found.program, "program", "question_id", "rank", [*PROGRAM_COLUMNS, "score"]),
+        C.json_section(found.position, "position", "question_id", "rank",
                        [*POSITION_COLUMNS, "score"]),
-        C.web_section(web, "question_id", "rank"))
+        C.web_section(found.web, "question_id", "rank"))
+
+
+def retrieve(state: DataFrame, sources: Sources) -> DataFrame:
+    """Context rows of all questions."""
+    return context_sections(search_sources(state, sources))
 
 
 COUNTS = [f"n_{s}" for s in C.SECTIONS]
@@ -146,14 +213,78 @@ def evaluate_questions(labelled: DataFrame, sources: Sources,
     ``query, expected, predicted, route_correct, db_hits, vec_hits, prof_hits, has_data, context``.
     ``labelled`` has ``question_id, expected, query``. Scores and timings of answers, which are
     written elsewhere, join on ``question_id``."""
+    state = labelled_state(labelled, profile, route)
+    return _evaluated(with_contexts(state, retrieve(state, sources))).drop("enriched_query")
+
+
+def _evaluated(answered: DataFrame) -> DataFrame:
+    return answered.select(
+        "question_id", "query", "enriched_query", "expected", F.col("route").alias("predicted"),
+        (F.col("route") == F.col("expected")).alias("route_correct"),
+        F.col("n_db").alias("db_hits"), F.col("n_program").alias("vec_hits"),
+        F.col("n_position").alias("prof_hits"), "has_data", "context")
+
+
+def labelled_state(labelled: DataFrame, profile: dict[str, str], route: Router) -> DataFrame:
+    """Labelled questions with route and choice, all under one profile, stored."""
     none = F.lit(None).cast("string")
     held = {f: F.lit(profile[f]) if f in profile else none for f in S.PROFILE_FIELDS}
     routed = route(labelled, "query").select(
         "*", *[v.alias(f) for f, v in held.items()], F.lit(False).alias("web_search"),
         R.profile_complete(held["degree_level"], held["field"]).alias("profile_complete"))
-    state = written(gate(routed), "labelled-state")
-    return with_contexts(state, retrieve(state, sources)).select(
-        "question_id", "query", "expected", F.col("route").alias("predicted"),
-        (F.col("route") == F.col("expected")).alias("route_correct"),
-        F.col("n_db").alias("db_hits"), F.col("n_program").alias("vec_hits"),
-        F.col("n_position").alias("prof_hits"), "has_data", "context")
+    return written(gate(routed), "labelled-state")
+
+
+#: A bold label at the head of a list line claims nothing.
+LIST_LABEL = r"(?m)^- \*\*[^*\n]+\*\*:"
+#: Quotes and escapes of a context's JSON rows, which would run on with the links beside them.
+JSON_MARKS = r'\\[nrt"\\]|"'
+Answerer = Callable[[DataFrame, Found], DataFrame]
+
+
+def cards_answer(questions: DataFrame, found: Found, as_of: dt.date) -> DataFrame:
+    """Answers as result cards; a question without hits gets none."""
+    day = F.lit(as_of)
+    cards = Q.question_cards(
+        Q.position_rows(found.position, day), Q.program_rows(found.db, day, found.program),
+        Q.description_rows(found.program))
+    return questions.join(cards.select("question_id", F.col("cards").alias("response")),
+                          "question_id", "left")
+
+
+def full_run(labelled: DataFrame, sources: Sources, profile: dict[str, str] = V.EVAL_PROFILE,
+             route: Router = R.with_text_route, answer: Answerer | None = None) -> DataFrame:
+    """Labelled questions from routing to a judged answer: a log that ``evaluate.full_metrics``
+    takes, one row for each question, with what was found, answered and confirmed.
+
+    ``answer(questions, found)`` adds ``response``; result cards are shown where none is given. Whether
+    the context confirms it is ``faithful``, NULL where nothing was found or answered. A source that
+    fails leaves its questions without its hits, and ``db_error`` or ``vec_error`` true. Stages run
+    for all questions together: a question's time is its stage's divided by their number.
+    ``judge_score`` is of a hosted judge and joins on ``question_id``; here it is -1, not scored.
+    """
+    started = time.monotonic()
+    state = labelled_state(labelled, profile, route)
+    routed = time.monotonic()
+    found = search_sources(state, sources, errors_as_data=True)
+    questions = written(_evaluated(with_contexts(state, context_sections(found))),
+                        "evaluated-questions")
+    retrieved = time.monotonic()
+    show = answer or (lambda asked, hits: cards_answer(asked, hits, sources.as_of))
+    answers = written(show(questions, found), "evaluated-answers")
+    done = time.monotonic()
+    n = max(answers.count(), 1)
+    c, said = F.col, F.col("has_data") & F.col("response").isNotNull()
+    judged = grounding(answers.withColumns({
+        "_said": F.regexp_replace("response", LIST_LABEL, ""),
+        "_source": F.when(said, F.regexp_replace("context", JSON_MARKS, " "))}),
+        "_said", "_source").drop("_said", "_source")
+    predicted = c("predicted")
+    timed = judged.withColumns({
+        "db_error": F.lit("db" in found.failed) & predicted.isin(*DB_ROUTES),
+        "vec_error": F.lit("program" in found.failed) & predicted.isin(*VECTOR_ROUTES),
+        "judge_score": F.lit(-1),
+        "routing_ms": F.lit((routed - started) * 1000 / n),
+        "retrieval_ms": F.lit((retrieved - routed) * 1000 / n),
+        "llm_ms": F.lit((done - retrieved) * 1000 / n)})
+    return stage_timings(timed, ["routing_ms", "retrieval_ms", "llm_ms"])

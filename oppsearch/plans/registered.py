@@ -19,11 +19,12 @@ from oppsearch.operators import (
 from oppsearch.operators.lexical import lexical_search, search_pages
 from oppsearch.operators.search import has_all, in_domain, program_search, within_budget
 from oppsearch.operators.structured import structured_hits
+from oppsearch.operators.text_index import TextIndex, index_pages
 from oppsearch.operators.vectors import (
     anchor_scores, hash_embed, nearest, vector_router, vector_search)
 from oppsearch.plans.answer import (
-    Sources, accept_questions, answer_questions, asked_filters, evaluate_questions, prepare_turns,
-    question_state)
+    Sources, accept_questions, answer_questions, asked_filters, evaluate_questions, full_run as run_labelled,
+    prepare_turns, question_state)
 from oppsearch.plans.views import cte, program_documents, table, typed_finances, view
 from oppsearch.session import scratch_dir, written
 from oppsearch.sources import files, tables
@@ -804,6 +805,29 @@ def page_search(spark, sf):
         c("item_id").alias("query_id"), c("text").alias("query")), table(spark, sf, "pages"))
 
 
+LEXICAL_SQL, PAGES_SQL = ORACLES["lexical_topk"], ORACLES["page_search"]
+
+
+@query(LEXICAL_SQL)
+def indexed_topk(spark, sf):
+    """``lexical_topk`` through a stored index, to which the documents come in two runs."""
+    docs = table(spark, sf, "documents").select(c("doc_id").alias("id"), "text", "lang")
+    index = TextIndex(spark, scratch_dir(spark, "text-index"))
+    index.add(docs.filter(c("lang") == "en"))
+    index.add(docs)
+    return index.search(table(spark, sf, "benchmark").select(
+        c("item_id").alias("query_id"), c("text").alias("query")))
+
+
+@query(PAGES_SQL)
+def indexed_pages(spark, sf):
+    """``page_search`` through a stored index of the stripped pages."""
+    index = index_pages(spark, scratch_dir(spark, "page-index"), table(spark, sf, "pages"))
+    return index.search(table(spark, sf, "benchmark").select(
+        c("item_id").alias("query_id"), c("text").alias("query")),
+        payload=["title", "url", "content"])
+
+
 # ---------------------------------------------------------------- turns
 
 def _quoted(text: str) -> str:
@@ -1414,6 +1438,34 @@ def evaluate_labelled(spark, sf):
                               _sources(spark, sf)).drop("query", "context")
 
 
+def _full_run(spark, sf) -> DataFrame:
+    labelled = files.parse_labelled(view(spark, sf, "labelled_lines"), "line")
+    return run_labelled(labelled.withColumnRenamed("doc_id", "question_id"), _sources(spark, sf))
+
+
+@query(None)
+def full_run(spark, sf):
+    """Every labelled question from routing to its cards and whether the context confirms them.
+    Times are left out: they differ from run to run."""
+    return _full_run(spark, sf).drop("context", "routing_ms", "retrieval_ms", "llm_ms", "total_ms")
+
+
+@query(LABELLED_SQL + """
+SELECT round(avg(CAST(predicted = expected AS INT)) * 100, 1) AS routing_accuracy,
+  0.0 AS db_error_rate,
+  round(avg(CAST(predicted IN ('query_db', 'hybrid') AS INT)) FILTER (expected IN ('query_db', 'hybrid'))
+        * 100, 1) AS db_hit_rate,
+  round(avg(CAST(predicted IN ('vector_search', 'hybrid') AS INT))
+        FILTER (expected IN ('vector_search', 'hybrid')) * 100, 1) AS vec_hit_rate,
+  count(*) FILTER (WHERE predicted <> 'respond') AS n_faithfulness, count(*) AS total FROM run""")
+def full_run_metrics(spark, sf):
+    """Metrics of the labelled run's real hits. Every search finds something here, so the twin has
+    the rates from the routes; the hits themselves are held against brute force in the tests."""
+    return E.full_metrics(_full_run(spark, sf)).select(
+        "routing_accuracy", "db_error_rate", "db_hit_rate", "vec_hit_rate", "n_faithfulness",
+        "total")
+
+
 EVAL_SQL = cte("eval_log") + """,
 timed AS (SELECT * EXCLUDE (routing_ms, retrieval_ms, llm_ms), predicted = expected AS route_correct,
    round(routing_ms, 1) AS routing_ms, round(retrieval_ms, 1) AS retrieval_ms,

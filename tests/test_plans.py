@@ -12,7 +12,8 @@ from oppsearch.plans import registered
 from oppsearch.plans.views import TABLES
 
 # queries that run jobs while they are built are left to the comparison with SQL
-EAGER = {"answer_batch", "evaluate_labelled", "structured_for_questions", "all_passed",
+EAGER = {"answer_batch", "evaluate_labelled", "full_run", "full_run_metrics", "indexed_topk", "indexed_pages",
+         "structured_for_questions", "all_passed",
          "context_rows", "question_context", "has_data", "answer_contexts",
          "csv_load_programs", "csv_load_finances",
          "index_programs", "index_positions", "stream_index", "stream_turn_state",
