@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -104,6 +105,21 @@ def test_structured_plan_is_an_equi_join(spark, tables):
     assert "WindowGroupLimit" in plan and "InArrow" not in plan
 
 
+def test_all_results_are_neither_written_nor_joined_back(spark, tables, monkeypatch):
+    p, f = tables
+    q = spark.createDataFrame([(1, "CS"), (2, None)], "question_id int, category string")
+    names, keep = [], structured.written
+    monkeypatch.setattr(structured, "written",
+                        lambda df, name: names.append(name) or keep(df, name))
+    found = structured_hits(q, p, f, AS_OF, limit=None)
+    assert names == ["filter-sets"]
+    assert {*p.columns, *f.columns, "question_id", "rank", "upcoming"} == set(found.columns)
+    got = sorted(((r.question_id, r.id, r.university_id) for r in found.collect()), key=str)
+    known = {r.university_id for r in f.collect()}
+    assert got == sorted(((n, r.id, r.id if r.id in known else None) for r in p.collect()
+                          for n in (1, 2) if n == 2 or r.field_category == "CS"), key=str)
+
+
 def brute_top(scores, ids, k):
     return sorted(zip(ids, scores), key=lambda x: (-x[1], x[0]))[:k]
 
@@ -130,6 +146,52 @@ def test_vector_search_equals_brute_force(spark, monkeypatch, broadcast_bytes):
     assert [(r.id, r.score) for r in one] == got["q0"]
 
 
+def test_many_queries_go_in_groups_past_one_copy_of_the_table(spark, monkeypatch):
+    """Groups of queries read the same stored blocks; a task sends k rows a query, not a block."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 8)))]
+    s = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    q = s.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    want = vectors.vector_search(s, q, 4).collect()
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(blocks, "GROUP_BYTES", 4000)
+    sizes, keep = {}, blocks.written
+    monkeypatch.setattr(blocks, "written", lambda df, name: sizes.setdefault(name, keep(df, name)))
+    got = vectors.vector_search(s, q, 4, broadcast_bytes=0)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want))
+    assert sizes["query-blocks"].count() > 5 and sizes["table-blocks"].count() < 100
+    few = blocks.blocked_topk(
+        s.select(F.col("id").alias("i"), F.col("embedding").alias("v")).coalesce(1),
+        q.select(F.col("query_id").alias("q"), F.col("query_vector").alias("v")),
+        vectors._InnerProducts(), None, size=blocks.QuerySize(300, 1, 1), query_id="query_id",
+        id_col="id")[0]
+    assert few.count() == 300 * 300
+
+
+@pytest.mark.parametrize("products, dense", [(2 << 20, 4 << 20), (5, 7)])
+def test_word_weights_equal_plain_sums(monkeypatch, products, dense):
+    """Frequent and rare words, in one step and in many."""
+    monkeypatch.setattr(lexical, "PRODUCTS", products)
+    monkeypatch.setattr(lexical, "DENSE", dense)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    often = 1 / np.arange(1, 41)
+    texts = [list(rng.choice(words, 12, p=often / often.sum())) for _ in range(30)] + [[]]
+    asked = [list(rng.choice([*words, "none"], 9, replace=False)) for _ in range(20)] + [[]]
+    weights = [list(rng.random(len(a))) for a in asked]
+    scorer, block = lexical._WordWeights(), pa.RecordBatch.from_pydict(
+        {"tokens": pa.array(texts, pa.list_(pa.string()))})
+    part = pa.RecordBatch.from_pydict({"terms": pa.array(asked, pa.list_(pa.string())),
+                                       "weights": pa.array(weights, pa.list_(pa.float64()))})
+    got = scorer.scores(scorer.stored(block), scorer.asked(part))
+    for q, (a, w) in enumerate(zip(asked, weights)):
+        for t, text in enumerate(texts):
+            bag = Counter(text)
+            norm = math.sqrt(sum((1 + math.log(n)) ** 2 for n in bag.values()))
+            want = sum(x * (1 + math.log(bag[y])) / norm for x, y in zip(w, a) if y in bag)
+            assert abs(got[q, t] - want) < 1e-9
+
+
 def test_cosine_and_anchor_scores(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (3, None), (1, [0.0, 0.0]), (2, [3.0, 4.0])],
                               "i int, e array<float>")
