@@ -3,9 +3,9 @@
 Spark reads such files in one task each, since a range does not know whether it starts inside a
 quoted cell or an object. Here a first pass over the ranges finds, for either state a range may
 start in, the state it ends in; those few rows, one a range, are folded along each file and give the
-state at every start. A second pass stores what cuts leave of records at the end of one piece and the
-start of the next, to be put together by the place where they began; each later use of the rows is one
-pass over the ranges, every one on its own.
+state at every start. They are broadcast to a second pass, which goes through the lines of every range
+once, in batches, and stores the records. What cuts leave of records at the end of one range and the
+start of the next is put together by the place where they began.
 
 Only one row a range is ever ordered by file, and only cut records are shuffled. Texts are
 UTF-8. CSV cells are quoted as RFC 4180 says; lines end in LF or CRLF. JSON may be an array of objects,
@@ -20,17 +20,18 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from oppsearch.session import written
 
-#: Characters of a piece of a range; a longer line is a piece of its own.
-PIECE_CHARS = 1 << 20
 _BOM = "\ufeff"
 _STRING = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"', re.S)
 _STRING_END = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.S)
+#: A line whose quoted cells all end on it and hold no quotes.
+_CLOSED = re.compile(r'(?:"[^"]*"|[^",][^,]*|)(?:,(?:"[^"]*"|[^",][^,]*|))*\r?')
 WHOLE, HEAD, MIDDLE, TAIL = range(4)
 
 
@@ -38,6 +39,8 @@ def csv_step(line: str, inside: bool) -> tuple[bool, int]:
     """Whether a quoted cell is open behind the line."""
     if '"' not in line:
         return inside, 0
+    if not inside and _CLOSED.fullmatch(line):
+        return False, 0
     at = 0
     while True:
         if not inside:
@@ -87,9 +90,7 @@ JSON = Format("}", json_step, True)
 _RANGE = "file string, block long, "
 _SUMMARY = _RANGE + ("out_end boolean, out_depth long, in_end boolean, in_depth long, base int, "
                      "head string")
-_PIECE = _RANGE + ("piece int, out_state boolean, out_before long, in_state boolean, in_before long, "
-                   "text string")
-_FOUND = _RANGE + "piece int, no int, kind int, text string"
+_FOUND = _RANGE + "no long, kind int, text string"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -102,52 +103,54 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _scan(form: Format, summary: bool):
-    """Cut each range's lines into pieces, or tell how the range as a whole changes the state. Both
-    follow the two states the range may start in side by side."""
-    schema = _schema(_SUMMARY if summary else _PIECE)
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, list[str]]]:
+    """The lines of a batch by range: ``(file, block)``, number of the first row, texts."""
+    files = batch.column("file").dictionary_encode()
+    blocks = batch.column("block").to_numpy()
+    code = files.indices.to_numpy()
+    starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (blocks[1:] != blocks[:-1])])
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        place = files.dictionary[int(code[a])].as_py(), int(blocks[a])
+        yield place, int(a), batch.column("value").slice(a, b - a).to_pylist()
+
+
+def _first(form: Format, block: int, text: str) -> str:
+    return text.removeprefix(_BOM) if block == 0 else text
+
+
+def _summaries(form: Format):
+    """Tell how each range as a whole changes the state, following the two states it may start in
+    side by side."""
+    schema = _schema(_SUMMARY)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = None
-        lines: list[str] = []
-        size = piece = base = 0
-        head = None
-        ends, before = [], []
-
-        def done() -> list[tuple]:
-            if summary:
-                return [(*place, ends[0][0], ends[0][1], ends[1][0], ends[1][1], base,
-                         head)]
-            if not lines:
-                return []
-            return [(*place, piece, before[0][0], before[0][1], before[1][0], before[1][1],
-                     form.separator.join(lines) + form.separator)]
+        place, head, base, ends = None, None, 0, []
+
+        def done() -> pa.RecordBatch:
+            return _batch([(*place, *ends[0], *ends[1], base, head)], schema)
 
         for batch in batches:
-            files, blocks, texts = (batch.column(i).to_pylist() for i in range(3))
-            for here in zip(files, blocks, texts):
-                text = here[2]
-                if here[:2] != place:
+            for here, _, texts in _runs(batch) if batch.num_rows else ():
+                if here != place:
                     if place:
-                        yield _batch(done(), schema)
-                    place, lines, size, piece = here[:2], [], 0, 0
-                    ends = before = [(False, 0), (True, 0)]
-                    if here[1] == 0:
-                        text = text.removeprefix(_BOM)
-                    head = None if here[1] or form.keeps else text
-                    base = int(here[1] == 0 and text.lstrip()[:1] == "[")
-                elif size >= PIECE_CHARS and not summary:
-                    yield _batch(done(), schema)
-                    lines, size, piece, before = [], 0, piece + 1, ends
-                steps = [form.step(text, ends[0][0])]
-                steps.append(steps[0] if ends[1][0] == ends[0][0] else
-                             form.step(text, ends[1][0]))
-                ends = [(s, d + more) for (_, d), (s, more) in zip(ends, steps)]
-                if not summary:
-                    lines.append(text)
-                size += len(text) + 1
+                        yield done()
+                    place, ends = here, [(False, 0), (True, 0)]
+                    texts[0] = _first(form, here[1], texts[0])
+                    head = None if here[1] or form.keeps else texts[0]
+                    base = int(here[1] == 0 and texts[0].lstrip()[:1] == "[")
+                (out, out_depth), (inner, in_depth) = ends
+                for text in texts:
+                    before = out
+                    out, more = form.step(text, before)
+                    out_depth += more
+                    if inner != before:
+                        inner, more = form.step(text, inner)
+                    else:
+                        inner = out
+                    in_depth += more
+                ends = [(out, out_depth), (inner, in_depth)]
         if place:
-            yield _batch(done(), schema)
+            yield done()
     return work
 
 
@@ -172,61 +175,70 @@ def _starts(summary: DataFrame) -> DataFrame:
 
 
 def _records(form: Format):
+    """The records of each range's lines, whose rows hold the state at the range's start."""
     schema, sep = _schema(_FOUND), form.separator
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, kept = None, []
+        inside, begun, depth, base, no = False, False, 0, 0, 0
+
+        def rest() -> list[tuple]:
+            return [(*place, no, HEAD if begun else MIDDLE, sep.join(kept) + sep)] if kept else []
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                if row["inside"] is None:
-                    raise ValueError("the file's ranges changed between two scans: read it again")
-                inside, depth = ((row["in_state"], row["in_before"]) if row["inside"] else
-                                 (row["out_state"], row["out_before"]))
-                depth, base = depth + row["depth"], row["base"]
-                found, kept = [], []
-                begun = not inside and depth == base
-                place = (row["file"], row["block"], row["piece"])
-                for text in row["text"].split(sep)[:-1]:
+            found = []
+            for here, row, texts in _runs(batch) if batch.num_rows else ():
+                if here != place:
+                    found += rest()
+                    place, kept, no = here, [], 0
+                    inside = batch.column("inside")[row].as_py()
+                    if inside is None:
+                        raise ValueError(
+                            "the file's ranges changed between two scans: read it again")
+                    depth, base = batch.column("depth")[row].as_py(), batch.column("base")[row].as_py()
+                    begun = not inside and depth == base
+                    texts[0] = _first(form, here[1], texts[0])
+                for text in texts:
                     kept.append(text)
                     inside, more = form.step(text, inside)
                     depth += more
                     if not inside and depth == base:
                         body = sep.join(kept) + (sep if form.keeps else "")
-                        found.append((*place, len(found), WHOLE if begun else TAIL, body))
-                        kept, begun = [], True
-                if kept:
-                    found.append((*place, len(found), HEAD if begun else MIDDLE,
-                                  sep.join(kept) + sep))
-                yield _batch(found, schema)
+                        found.append((*place, no, WHOLE if begun else TAIL, body))
+                        kept, begun, no = [], True, no + 1
+            yield _batch(found, schema)
+        yield _batch(rest(), schema)
     return work
 
 
 def read_records(spark: SparkSession, path: str | list[str], form: Format
                  ) -> tuple[DataFrame, DataFrame]:
-    """``file, block, piece, no, text`` of all records, whose first four give their order, and the
-    ranges: of CSV the first has its file's first line as ``head``."""
+    """``file, block, no, text`` of all records, whose first three give their order, and the
+    ranges: of CSV the first has its file's first line as ``head``. The records are stored once."""
     scan = spark.read.text(path, lineSep=form.separator).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start")
         .alias("block"), "value")
-    starts = written(_starts(scan.mapInArrow(_scan(form, True), _SUMMARY)), "range-starts")
-    found = scan.mapInArrow(_scan(form, False), _PIECE).join(
-        starts.drop("head"), ["file", "block"], "left").mapInArrow(_records(form), _FOUND)
+    starts = written(_starts(scan.mapInArrow(_summaries(form), _SUMMARY)), "range-starts")
+    # one row a range; a broadcast join leaves the lines of a range in their order
+    known = scan.join(F.broadcast(starts.drop("head")), ["file", "block"], "left").select(
+        "file", "block", "value", "inside", "depth", "base")
+    found = written(known.mapInArrow(_records(form), _FOUND), "records")
     c = F.col
     # the place where a cut record began: in this range, or the last one begun in an earlier range
-    cut = written(found.filter(c("kind") != WHOLE), "cut-records")
-    head = F.when(c("kind") == HEAD, F.struct("block", "piece", "no"))
+    cut = found.filter(c("kind") != WHOLE)
+    head = F.when(c("kind") == HEAD, F.struct("block", "no"))
     last = cut.groupBy("file", "block").agg(F.max(head).alias("last"))
     earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     carried = last.select("file", "block",
                           F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    here = W.partitionBy("file", "block").orderBy("piece", "no")
+    here = W.partitionBy("file", "block").orderBy("no")
     begun = cut.withColumn("here", F.last(head, ignorenulls=True).over(here)).join(
         carried, ["file", "block"]).withColumn("begun", F.coalesce("here", "carried"))
     joined = begun.groupBy("file", "begun").agg(
-        F.sort_array(F.collect_list(F.struct("block", "piece", "no", "text"))).alias("parts"))
-    whole = found.filter(c("kind") == WHOLE).select("file", "block", "piece", "no", "text")
+        F.sort_array(F.collect_list(F.struct("block", "no", "text"))).alias("parts"))
+    whole = found.filter(c("kind") == WHOLE).select("file", "block", "no", "text")
     return whole.unionByName(joined.select(
-        "file", "begun.block", "begun.piece", "begun.no",
+        "file", "begun.block", "begun.no",
         F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))), starts
 
 
@@ -249,9 +261,8 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str, place: boo
     if wrong:
         raise ValueError(f"the header of {wrong[0]} does not name {declared.names}")
     text = F.regexp_replace("text", r"\r?\n?\z", "")
-    number = c("piece").cast("long") * (1 << 32) + c("no")
     rows = rows.select(F.struct(c("file").alias("file_path"), c("block").alias("file_block_start"),
-                                number.alias("row")).alias("_place"), text.alias("text"))
+                                c("no").alias("row")).alias("_place"), text.alias("text"))
     first = (c("_place.file_block_start") == 0) & (c("_place.row") == 0)
     cells = rows.filter(~first & (c("text") != "")).select(
         # a record is far smaller than the buffer a file would get

@@ -56,6 +56,18 @@ def test_csv_in_many_ranges_equals_the_whole_read(spark, tmp_path, narrow, end):
         assert len({r._place.file_block_start for r in mine}) > 10
 
 
+def test_lines_cross_into_python_twice_and_in_batches(spark, tmp_path, monkeypatch):
+    """One pass for the states and one for the records, however often the rows are used."""
+    text = HEADER + "\n" + as_csv(programs(120, 5))
+    (tmp_path / "a.csv").write_text(text)
+    stored, keep = [], R.written
+    monkeypatch.setattr(R, "written", lambda df, name: stored.append(name) or keep(df, name))
+    rows = files.read_programs(spark, str(tmp_path), ranges=True)
+    assert stored == ["range-starts", "records"]
+    assert "InArrow" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 120
+
+
 def test_csv_header_must_name_the_columns(spark, tmp_path):
     (tmp_path / "p.csv").write_text("id,other\n1,2\n")
     with pytest.raises(ValueError, match="header"):
