@@ -10,6 +10,7 @@ import check
 from conftest import SF
 from oppsearch.plans import registered
 from oppsearch.plans.views import TABLES
+from oppsearch.session import ARROW_ROWS, ship_package
 
 # queries that run jobs while they are built are left to the comparison with SQL
 EAGER = {"answer_batch", "evaluate_labelled", "full_run", "full_run_metrics", "indexed_topk", "indexed_pages",
@@ -84,3 +85,16 @@ def test_equals_sql(spark, name):
     columns = [d[0] for d in want.description]
     assert sorted(columns) == sorted(df.columns)
     assert check.rows_of(df.columns, df.collect()) == check.rows_of(columns, want.fetchall())
+
+
+def test_batches_to_python_are_bounded_in_any_session(spark):
+    """A caller's session gets the bound of ``build_session``; a lower one of its own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for own, held in (("10000", ARROW_ROWS), ("0", ARROW_ROWS), ("50", 50)):
+            spark.conf.set(key, own)
+            ship_package(spark)
+            assert int(spark.conf.get(key)) == held
+    finally:
+        spark.conf.set(key, before)
