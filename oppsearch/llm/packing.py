@@ -17,6 +17,7 @@ import functools
 import math
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,55 +29,68 @@ from oppsearch.session import written
 
 #: Words whose ids a Python worker remembers; when that many are known, it starts anew.
 KNOWN_WORDS = 1_200_000
-#: Bytes of text whose new words are encoded together.
-LEARN_BYTES = 1 << 19
 #: Marks at the end of a word, which the tokenizer splits from the letter or digit before.
-END_MARKS = re.compile(rb"(?<=[a-z0-9])([.,;:!?%*&$#]+)(?!\S)")
+END_MARKS = b".,;:!?%*&$#"
+#: Lower-case letters of ASCII and Latin-1, which no step before the tokenizer's model changes or splits.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
-class WordEncoder:
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level tokenizers write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return dict(zip(shown, shown)) | {b: 256 + n for n, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class WordEncoder(dict):
     """Token ids of a tokenizer that, as its file says, lower-cases, drops white space, and never
     joins a letter or digit to a mark: the ids of a text are those of its parts, so each distinct
-    part is encoded once."""
+    part is encoded once, when it is first looked up. A part of plain letters goes straight to the
+    tokenizer's byte-level model, since what the tokenizer does before leaves it as it is."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encoder = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def parts(self, raw: bytes) -> list[bytes]:
-        """Words, end marks apart; the strings of special tokens keep their case."""
-        return raw.split() if b"<|" in raw else END_MARKS.sub(rb" \1", raw.lower()).split()
-
-    def learn(self, words: list[bytes]) -> None:
-        text = b" ".join(words).decode()
-        found = self.encoder.encode(text, add_special_tokens=False)
-        first = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-        lengths = np.fromiter((len(w.decode()) for w in words), np.int64, len(words))
-        cuts = np.r_[0, np.searchsorted(first, np.cumsum(lengths + 1))].tolist()
-        ids = np.array(found.ids, "<u4").tobytes()
-        self.known.update((w, ids[4 * a:4 * b]) for w, a, b in zip(words, cuts, cuts[1:]))
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [self.parts(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = set().union(*split)
-        part, size = [], 0
-        for w in new:
-            part.append(w)
-            size += len(w)
-            if size > 1 << 14:
-                self.learn(part)
-                part, size = [], 0
-        if part:
-            self.learn(part)
-        look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        self.model = self.encoder.model
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():
+            found = self._plain(word.decode())
+        elif PLAIN(word):
+            found = self._plain(word.decode("latin-1").translate(BYTE_LETTERS))
+        else:
+            stem = word.rstrip(END_MARKS)
+            if len(stem) < len(word) and (stem[-1:].isalnum() or PLAIN(stem)):
+                found = self[stem] + self[word[len(stem):]]
+            else:
+                found = _packed(self.encoder.encode(word.decode(), add_special_tokens=False).ids)
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found
+        return found
+
+    def _plain(self, letters: str) -> bytes:
+        return _packed([t.id for t in self.model.tokenize(letters)])
+
+    def one(self, raw: bytes | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers; the strings of special tokens
+        keep their case."""
+        raw = raw or b""
+        words = (raw if b"<|" in raw else raw.lower()).split()
+        return b"".join(map(self.__getitem__, words))
+
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        return [self.one(t) for t in texts]
 
 
 @functools.lru_cache(maxsize=2)
@@ -84,18 +98,6 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encoded(texts: list[bytes | None], encode) -> Iterator[bytes]:
-    """The ids of each text, encoded in groups of about ``LEARN_BYTES``."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t or b"")
-        size += len(group[-1])
-        if size > LEARN_BYTES:
-            yield from encode(group)
-            group, size = [], 0
-    yield from encode(group)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text",
                  capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece (from 0), start, length and ids (binary: little-endian unsigned 32-bit).
@@ -111,7 +113,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = word_encoder(tokenizer).ids
+        encode = word_encoder(tokenizer).one
         for b in batches:
             texts, held = utf8(b.column(1)), 0
             out = ([], [], [], [], [])
@@ -122,7 +124,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
                      pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()),
                      pa.array(out[4], pa.binary())], names=schema.names)
 
-            for row, ids in enumerate(encoded(texts, encode)):
+            for row, ids in enumerate(map(encode, texts)):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]

@@ -310,6 +310,18 @@ def test_word_ids_equal_the_library(documents, tokenizer):
         assert encode([t.encode()]) == [np.array(e.ids, "<u4").tobytes()], t[:50]
 
 
+def test_plain_words_take_only_the_model(tokenizer):
+    from tokenizers import Tokenizer
+
+    encode = packing.WordEncoder(tokenizer)
+    encode.ids([b", ***"])
+    full = Tokenizer.from_file(tokenizer).encode
+    encode.encoder = None
+    for t in ("Anblewh sttible, ouéaieuxlepa*** zß ÿ, æø,", "þxÿzu"):
+        want = full(t, add_special_tokens=False).ids
+        assert encode.ids([t.encode()]) == [np.array(want, "<u4").tobytes()]
+
+
 def check_packing(rows, capacity):
     """Gapless sequences within capacity."""
     by = defaultdict(list)
