@@ -98,3 +98,22 @@ def test_batches_to_python_are_bounded_in_any_session(spark):
             assert int(spark.conf.get(key)) == held
     finally:
         spark.conf.set(key, before)
+
+
+def test_batches_to_python_are_bounded_in_bytes_too(spark):
+    """Rows may be blocks or vectors of many numbers; what Spark writes as 64m or 1024b is read."""
+    from oppsearch.session import BATCHES
+    before = {key: spark.conf.get(key) for key in BATCHES}
+    bytes_key, rows_key = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    try:
+        for own, held in (("64m", BATCHES[bytes_key]), ("67108864b", BATCHES[bytes_key]),
+                          ("-1", BATCHES[bytes_key]), ("1k", 1024)):
+            spark.conf.set(bytes_key, own)
+            spark.conf.set(rows_key, "4096")
+            ship_package(spark)
+            got = spark.conf.get(bytes_key)
+            assert got == (own if held == 1024 else str(held))
+            assert int(spark.conf.get(rows_key)) == BATCHES[rows_key]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

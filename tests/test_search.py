@@ -1,7 +1,9 @@
 """Structured, vector and lexical search against brute force."""
 
 import datetime as dt
+import gc
 import math
+import os
 import re
 from collections import Counter
 
@@ -168,6 +170,97 @@ def test_many_queries_go_in_groups_past_one_copy_of_the_table(spark, monkeypatch
     assert few.count() == 300 * 300
 
 
+def test_products_in_single_precision_only_choose_the_pairs(monkeypatch):
+    """Scores that single precision cannot tell apart are ranked by double; a vector without a number or
+    too large is left to double precision at once."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=64)
+    near = base / np.linalg.norm(base) + rng.normal(size=(400, 64)) * 3e-7
+    far = rng.normal(size=(800, 64)) / 20
+    table = np.concatenate([far, near])[rng.permutation(1200)]
+    asked = np.stack([base, base + rng.normal(size=64), *rng.normal(size=(4, 64))])
+
+    def batch(name: str, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({name: pa.array(range(len(rows)), pa.int64()), "v": pa.array(
+            list(map(list, rows)), pa.list_(pa.float64()))})
+
+    scorer, used = vectors._InnerProducts(), []
+    above = scorer.above
+    monkeypatch.setattr(vectors._InnerProducts, "above", lambda self, *a: used.append(above(*a)) or used[-1])
+    part = batch("q", asked)
+    top = blocks._Best(part.column("q"), pa.int64(), 5, False)
+    for start in range(0, 1200, 100):
+        block = batch("i", table[start:start + 100])
+        ids = pa.array(range(start, start + 100), pa.int64())
+        top.add(scorer, scorer.stored(block), scorer.asked(part), ids)
+    assert sum(u is not None for u in used) > 8
+    exact = np.round(asked @ table.T, 6)
+    want = [(q, i) for q in range(len(asked)) for i in np.lexsort((np.arange(1200), -exact[q]))[:5]]
+    assert list(zip(top.rows.tolist(), top.ids.to_pylist())) == want
+    for odd in (np.nan, 1e30):
+        table[3, 0] = odd
+        stored = scorer.stored(batch("i", table[:10]))
+        assert above(stored, scorer.asked(part), np.zeros(len(asked)), 1000) is None
+
+
+def test_a_grouped_search_stores_small_blocks_and_leaves_none(spark, monkeypatch):
+    """Stored blocks are small, and gone when the search is over."""
+    monkeypatch.setattr(blocks, "STORED_BYTES", 20_000)
+    folders, sizes, keep = [], [], blocks.written
+
+    def seen(df, name):
+        stored = keep(df, name)
+        files = [f.removeprefix("file://") for f in stored.inputFiles()]
+        folders.extend({os.path.dirname(f) for f in files})
+        if name == "table-blocks":
+            sizes.extend(len(r.block) for r in stored.collect())
+        return stored
+
+    monkeypatch.setattr(blocks, "written", seen)
+    rows = [(i, [float(i % 7), 1.0] * 50) for i in range(400)]
+    s = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = s.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = vectors.vector_search(s, q, 3, broadcast_bytes=0)
+    gc.collect()
+    assert len(folders) == 2 and not any(map(os.path.exists, folders))
+    assert len(sizes) > 10 and max(sizes) < 40_000
+    assert found.count() == 1200
+
+
+def test_pages_of_large_values_end_where_they_are_full(spark):
+    """Otherwise a page holds a hundred values, whatever their size."""
+    from oppsearch.session import written
+    large = spark.range(30).coalesce(1).select(F.expr("repeat(uuid(), 40000)").alias("t"))
+    jvm, file = spark._jvm, written(large, "large-values").inputFiles()[0]
+    footer = jvm.org.apache.parquet.hadoop.ParquetFileReader.readFooter(
+        spark._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path(file))
+    pages = footer.getBlocks().get(0).getColumns().get(0).getEncodingStats()
+    plain = [e for e in jvm.org.apache.parquet.column.Encoding.values() if e.toString() == "PLAIN"][0]
+    assert pages.getNumDataPagesEncodedAs(plain) >= 20
+
+
+def test_words_are_hashed_as_sql_hashes_them(spark, monkeypatch):
+    """Each word's bucket is its MD5's first eight digits, whichever batch it comes in."""
+    text = "Straße naïve 東京 a a b 10 \U0001F600x " + " ".join(f"w{i}" for i in range(300))
+    df = spark.createDataFrame([(0, text), (1, None), (2, "")], "i int, t string")
+    dim = 97
+    want = {r.i: r.n for r in df.select("i", F.explode_outer(F.split(F.lower("t"), r"[^\p{L}\p{N}]+")).alias("w"))
+            .filter("w <> ''").select("i", F.pmod(F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long"),
+                                                  F.lit(dim)).alias("b"))
+            .groupBy("i", "b").count().groupBy("i").agg(F.map_from_entries(
+                F.collect_list(F.struct("b", "count"))).alias("n")).collect()}
+    got = {r.i: np.array(r.embedding) for r in vectors.hash_embed(df, "t", dim).collect()}
+    counts = np.zeros(dim)
+    for b, n in want[0].items():
+        counts[b] = n
+    assert (got[0] == (counts / np.sqrt((counts * counts).sum())).astype(np.float32)).all()
+    assert not got[1].any() and not got[2].any()
+    known = {b"old": 1}
+    monkeypatch.setattr(vectors, "KNOWN_WORDS", 0)
+    again = vectors._word_buckets(pa.array(["a", "b", "a"]), dim, known)
+    assert again[0] == again[2] and set(known) == {b"a", b"b"}
+
+
 @pytest.mark.parametrize("products, dense", [(2 << 20, 4 << 20), (5, 7)])
 def test_word_weights_equal_plain_sums(monkeypatch, products, dense):
     """Frequent and rare words, in one step and in many."""
