@@ -107,7 +107,7 @@ def test_batches_to_python_are_bounded_in_bytes_too(spark):
     bytes_key, rows_key = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
     try:
         for own, held in (("64m", BATCHES[bytes_key]), ("67108864b", BATCHES[bytes_key]),
-                          ("-1", BATCHES[bytes_key]), ("1k", 1024)):
+                          ("1k", 1024)):
             spark.conf.set(bytes_key, own)
             spark.conf.set(rows_key, "4096")
             ship_package(spark)
@@ -117,3 +117,23 @@ def test_batches_to_python_are_bounded_in_bytes_too(spark):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_a_worker_gives_memory_back_when_a_task_ends():
+    """What a function held is free when the last batch has been read, and its rows are the same."""
+    import resource
+
+    from oppsearch.session import memory_returned
+
+    def held() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+
+    def run(batches):
+        many = [bytes(1000) + b"x" for _ in range(200_000)]  # small ones, which an allocator keeps
+        for b in batches:
+            yield b, len(many)
+
+    before = held()
+    assert list(memory_returned(run)(iter([1, 2]))) == [(1, 200_000), (2, 200_000)]
+    assert held() - before < 100 << 20
