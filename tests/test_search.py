@@ -227,6 +227,21 @@ def test_a_grouped_search_stores_small_blocks_and_leaves_none(spark, monkeypatch
     assert found.count() == 1200
 
 
+def test_stored_blocks_are_dealt_to_all_cores(spark):
+    """No core is left without files and none has most of them, with many files or few."""
+    from oppsearch.session import settings, written
+    cores = spark.sparkContext.defaultParallelism
+    for files in (1, 3, 40):
+        stored = written(spark.range(400).repartition(files).select("id", F.expr(
+            "array_join(transform(sequence(1, 300), x -> uuid()), '')").alias("block")), "dealt-blocks")
+        with settings(spark, blocks.FEW_ROWS | blocks._dealt(stored)):
+            read = stored.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in read) == 400
+        assert len(read) <= 2 * blocks.CORE_TASKS * cores + 1
+        if files >= cores:
+            assert len(read) >= cores and max(r["count"] for r in read) <= 400 / cores
+
+
 def test_pages_of_large_values_end_where_they_are_full(spark):
     """Otherwise a page holds a hundred values, whatever their size."""
     from oppsearch.session import written
