@@ -206,6 +206,7 @@ def test_products_in_single_precision_only_choose_the_pairs(monkeypatch):
 def test_a_grouped_search_stores_small_blocks_and_leaves_none(spark, monkeypatch):
     """Stored blocks are small, and gone when the search is over."""
     monkeypatch.setattr(blocks, "STORED_BYTES", 20_000)
+    monkeypatch.setattr(blocks, "GROUP_BYTES", 100_000)
     folders, sizes, keep = [], [], blocks.written
 
     def seen(df, name):
